@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Spaces other than the plain one, for Java's regular expressions.
-JAVA_SPACES = r"   -   　"
+JAVA_SPACES = r"\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000"
 #: Zero-width characters, joiners, direction marks, soft hyphens.
-JAVA_INVISIBLE = r"­᠎​-‏‪-‮⁠-⁤﻿"
+JAVA_INVISIBLE = r"\u00AD\u180E\u200B-\u200F\u202A-\u202E\u2060-\u2064\uFEFF"
 
 
 def spread(df: DataFrame) -> DataFrame:
@@ -20,6 +20,11 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def keep(df: DataFrame, condition: Column) -> DataFrame:
+    """Filter on computed columns without computing them twice: the optimizer can't push this below the projection."""
+    return df.withColumn("_at", F.spark_partition_id()).where(condition & (F.col("_at") >= 0)).drop("_at")
+
+
 def arrow_map(df: DataFrame, kernel: Callable[[Iterator[dict]], Iterator[dict]], schema: str) -> DataFrame:
     """Run a kernel over batches given as {column: list}; each batch it yields is such a dict in the order of schema."""
     from pyspark.sql.types import StructType
@@ -28,7 +33,7 @@ def arrow_map(df: DataFrame, kernel: Callable[[Iterator[dict]], Iterator[dict]],
     names = struct.fieldNames()
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    arrow_schema = to_arrow_schema(struct, timezone="UTC")
+    arrow_schema = to_arrow_schema(struct)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def lists() -> Iterator[dict]:

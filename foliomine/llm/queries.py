@@ -44,6 +44,32 @@ def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
     return without_site_lines(table(spark, folder, "blocks"), "doc", "text", "block_id").select("block_id", "doc", "text", "removed_lines")
 
 
+def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
+    from foliomine.llm.packing import pack
+
+    return pack(table(spark, folder, "documents"), "doc_id", "text", "source")
+
+
+def p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    from foliomine.llm.leakage import leaks
+
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "item_id").distinct()
+
+
+def p9_matches(spark: SparkSession, folder: str) -> DataFrame:
+    """With the longest match and its place."""
+    from foliomine.llm.leakage import leaks
+
+    return leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items"))
+
+
+def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """The documents without any passage of a test item."""
+    from foliomine.llm.leakage import without_leaks
+
+    return without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "source", "n_chars")
+
+
 P5_LINES = r"""
 WITH l AS (SELECT block_id, doc, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INT) AS line_no, unnest(string_split(text, chr(10))) AS line
            FROM blocks WHERE text IS NOT NULL AND doc IS NOT NULL),
@@ -56,7 +82,7 @@ s AS (SELECT doc, line FROM c JOIN r USING (doc) WHERE n >= 5 AND n >= 0.03 * n_
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean}
+    return {"p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean}
 
 
 def oracle_sql() -> dict[str, str]:
