@@ -72,6 +72,21 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     return without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "source", "n_chars")
 
 
+def p10_found(spark: SparkSession, folder: str) -> DataFrame:
+    from foliomine.llm.encoding import garbled, word_list
+
+    words = word_list(table(spark, folder, "word_freq"))
+    return garbled(table(spark, folder, "documents"), words).select(F.col("row_id").alias("doc_id"))
+
+
+def p10_restore(spark: SparkSession, folder: str) -> DataFrame:
+    """The garbled documents with the text restored as far as it can be."""
+    from foliomine.llm.encoding import restore, word_list
+
+    words = word_list(table(spark, folder, "word_freq"))
+    return restore(table(spark, folder, "documents"), words).withColumnRenamed("row_id", "doc_id")
+
+
 P5_LINES = r"""
 WITH l AS (SELECT block_id, doc, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INT) AS line_no, unnest(string_split(text, chr(10))) AS line
            FROM blocks WHERE text IS NOT NULL AND doc IS NOT NULL),
@@ -84,7 +99,7 @@ s AS (SELECT doc, line FROM c JOIN r USING (doc) WHERE n >= 5 AND n >= 0.03 * n_
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean}
+    return {"p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
 
 
 def oracle_sql() -> dict[str, str]:
