@@ -32,8 +32,8 @@ SINGLE = (
     ("cp437", "cp1252"), ("cp850", "cp1252"), ("mac_roman", "cp1252"), ("cp1252", "mac_roman"), ("cp1252", "cp437"), ("cp1252", "cp850"), ("cp1252", "cp1251"), ("cp1252", "koi8-r"), ("cp1252", "cp866"), ("cp850", "cp437"), ("cp1250", "cp1251"), ("cp1250", "mac_roman"), ("cp1250", "cp437"),
 )
 #: Symbols that stand in texts as they should be.
-SYMBOLS = set("¬¶–—‑‘’‚“”„…•·«»‹›¿¡§©®™°±×÷µ½¼¾²³¹ºª€£¥≥≤≈≠№†‡−αβγδκλμπσΔΩω     ­​‌‍⁠﻿")
-INSIDE_WORDS = set("’‑–—·‘­​‌‍⁠﻿     ")
+SYMBOLS = set("¬¶–—‑‘’‚“”„…•·«»‹›¿¡§©®™°±×÷µ½¼¾²³¹ºª€£¥≥≤≈≠№†‡−αβγδκλμπσΔΩω\u00a0\u2009\u202f\u2007\u2003\u00ad\u200b\u200c\u200d\u2060\ufeff")
+INSIDE_WORDS = set("’‑–—·‘\u00ad\u200b\u200c\u200d\u2060\ufeff\u00a0\u2009\u202f\u2007\u2003")
 LOSSY = "lossy"
 MAX_DEPTH = 3
 ITERATIONS = 12
@@ -144,15 +144,15 @@ class PairModel:
 
     def fill(self, token: str) -> str:
         """A token with lost characters, filled from the word list where exactly one word fits."""
-        core = re.search(r"[\w�]*�[\w�]*", token)
+        core = re.search(r"[\w\ufffd]*\ufffd[\w\ufffd]*", token)
         if not core:
             return token
         hole = core.group(0)
-        pattern = re.compile(re.escape(hole.lower()).replace("�", "[^\x00-\x7f]"))
+        pattern = re.compile(re.escape(hole.lower()).replace("\ufffd", "[^\x00-\x7f]"))
         found = {w for w in self.by_length.get(len(hole), []) if pattern.fullmatch(w)}
         if len(found) != 1:
             return token
-        word = "".join(x if o == "�" else o for o, x in zip(hole, found.pop(), strict=True))
+        word = "".join(x if o == "\ufffd" else o for o, x in zip(hole, found.pop(), strict=True))
         return token.replace(hole, word)
 
 
@@ -196,7 +196,7 @@ class Chains:
     def unit(self, unit: str) -> dict[str, float]:
         """The evidence for each chain over the tokens of a unit; only chains that gain."""
         tokens = [t for t in unit.split(" ") if not t.isascii()]
-        each = [self.of(t) for t in tokens if "�" not in t]
+        each = [self.of(t) for t in tokens if "\ufffd" not in t]
         names = {c for e in each for c, (gain, _) in e.items() if gain > 0}
         out = {}
         for c in names:
@@ -209,7 +209,7 @@ class Chains:
 
     def apply(self, unit: str, chain: str) -> str:
         if chain == LOSSY:
-            return " ".join(self.model.fill(t) if "�" in t else t for t in unit.split(" "))
+            return " ".join(self.model.fill(t) if "\ufffd" in t else t for t in unit.split(" "))
         return " ".join(self.of(t).get(chain, (0.0, t))[1] if not t.isascii() else t for t in unit.split(" "))
 
 

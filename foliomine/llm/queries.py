@@ -46,6 +46,32 @@ def p5_clean(spark: SparkSession, folder: str) -> DataFrame:
     return without_site_lines(table(spark, folder, "blocks"), "doc", "text", "block_id").select("block_id", "doc", "text", "removed_lines")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    from foliomine.llm.encoding import word_list
+    from foliomine.llm.lookalike import cells_text, kinds_found
+
+    words = word_list(table(spark, folder, "word_freq"))
+    blocks = kinds_found(table(spark, folder, "blocks"), words, "block_id", "text").select(F.lit("blocks").alias("rec_table"), "rec_id", "char_kind")
+    tables = table(spark, folder, "tables").select("table_id", cells_text("rows").alias("cells"))
+    return blocks.unionByName(kinds_found(tables, words, "table_id", "cells").select(F.lit("tables").alias("rec_table"), "rec_id", "char_kind"))
+
+
+def p6_blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """Every block's text in one form."""
+    from foliomine.llm.encoding import word_list
+    from foliomine.llm.lookalike import normal_texts
+
+    return normal_texts(table(spark, folder, "blocks"), word_list(table(spark, folder, "word_freq")), "block_id", "text").withColumnRenamed("rec_id", "block_id")
+
+
+def p6_tables(spark: SparkSession, folder: str) -> DataFrame:
+    """Every table's cells in one form."""
+    from foliomine.llm.encoding import word_list
+    from foliomine.llm.lookalike import normal_cells
+
+    return normal_cells(table(spark, folder, "tables"), word_list(table(spark, folder, "word_freq")), "table_id", "rows").withColumnRenamed("rec_id", "table_id")
+
+
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     from foliomine.llm.packing import pack
 
@@ -99,7 +125,7 @@ s AS (SELECT doc, line FROM c JOIN r USING (doc) WHERE n >= 5 AND n >= 0.03 * n_
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
+    return {"p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
 
 
 def oracle_sql() -> dict[str, str]:
