@@ -274,11 +274,12 @@ def shares(found: DataFrame) -> DataFrame:
     counted = found.groupBy("source", "chains", F.when(F.col("unit") >= 0, F.col("gains")).alias("gains")).agg(F.sum(F.when(F.col("unit") >= 0, F.lit(1.0)).otherwise(F.element_at("gains", 1))).alias("n"))
 
     def fit(key, rows):
-        import pandas as pd
+        import pyarrow as pa
 
         share: dict[str, float] = {}
-        cases = [(float(n), list(c), list(g)) for c, g, n in zip(rows["chains"], rows["gains"], rows["n"], strict=True) if g is not None]
-        total = float(rows["n"].sum())
+        columns = [rows.column(c).to_pylist() for c in ("chains", "gains", "n")]
+        cases = [(n, c, g) for c, g, n in zip(*columns, strict=True) if g is not None]
+        total = sum(columns[2])
         for _, c, _ in cases:
             share |= dict.fromkeys(c, PRIOR)
         for _ in range(ITERATIONS):
@@ -290,9 +291,9 @@ def shares(found: DataFrame) -> DataFrame:
                 for x, w in zip(c, weight, strict=True):
                     sums[x] += n * w / whole
             share = {x: v / (total + PRIOR * len(sums)) for x, v in sums.items()}
-        return pd.DataFrame({"source": key[0], "chain": list(share), "share": list(share.values())})
+        return pa.table({"source": pa.array([key[0].as_py()] * len(share), pa.string()), "chain": pa.array(list(share), pa.string()), "share": pa.array(list(share.values()), pa.float64())})
 
-    return counted.groupBy("source").applyInPandas(fit, "source string, chain string, share double")
+    return counted.groupBy("source").applyInArrow(fit, "source string, chain string, share double")
 
 
 def garbled_units(df: DataFrame, words: list[str], row: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
