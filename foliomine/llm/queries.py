@@ -72,6 +72,29 @@ def p6_tables(spark: SparkSession, folder: str) -> DataFrame:
     return normal_cells(table(spark, folder, "tables"), word_list(table(spark, folder, "word_freq")), "table_id", "rows").withColumnRenamed("rec_id", "table_id")
 
 
+def _scanned(spark: SparkSession, folder: str) -> DataFrame:
+    blocks = table(spark, folder, "blocks").select(F.lit("blocks").alias("rec_table"), F.col("block_id").alias("rec_id"), "text", F.coalesce("is_heading", F.lit(False)).alias("heading"))
+    tables = table(spark, folder, "tables").select(F.lit("tables").alias("rec_table"), F.col("table_id").alias("rec_id"), F.col("markdown").alias("text"), F.lit(False).alias("heading"))
+    return blocks.unionByName(tables)
+
+
+def p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    from foliomine.llm.encoding import word_list
+    from foliomine.llm.scan_noise import noise_found, word_counts
+
+    texts = _scanned(spark, folder)
+    return noise_found(texts, *word_counts(texts), word_list(table(spark, folder, "word_freq")))
+
+
+def p7_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Every text as continuous paragraphs."""
+    from foliomine.llm.encoding import word_list
+    from foliomine.llm.scan_noise import repaired, word_counts
+
+    texts = _scanned(spark, folder)
+    return repaired(texts, *word_counts(texts), word_list(table(spark, folder, "word_freq")))
+
+
 def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     from foliomine.llm.packing import pack
 
@@ -125,7 +148,7 @@ s AS (SELECT doc, line FROM c JOIN r USING (doc) WHERE n >= 5 AND n >= 0.03 * n_
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
+    return {"p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p7_found": p7_found, "p7_repair": p7_repair, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
 
 
 def oracle_sql() -> dict[str, str]:
