@@ -12,6 +12,23 @@ from foliomine.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    from foliomine.llm.markup import markup_found
+
+    tables = table(spark, folder, "tables")
+    found = lambda field, pipes: markup_found(tables, "table_id", field, pipes).select(F.col("rec_id").alias("table_id"), F.lit(field).alias("field_name"), "markup")
+    return found("markdown", True).unionByName(found("caption", False))
+
+
+def p3_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Every table's markdown and caption as clean text and blocks."""
+    from foliomine.llm.markup import clean_texts
+
+    tables = table(spark, folder, "tables")
+    clean = lambda field, pipes: clean_texts(tables, "table_id", field, pipes).select(F.col("rec_id").alias("table_id"), F.lit(field).alias("field_name"), "text", "blocks")
+    return clean("markdown", True).unionByName(clean("caption", False))
+
+
 def p4_quality(spark: SparkSession, folder: str) -> DataFrame:
     """Every record's statistics, reasons and class."""
     from foliomine.llm.text_quality import quality
@@ -148,7 +165,7 @@ s AS (SELECT doc, line FROM c JOIN r USING (doc) WHERE n >= 5 AND n >= 0.03 * n_
 
 
 def queries() -> dict[str, Query]:
-    return {"p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p7_found": p7_found, "p7_repair": p7_repair, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
+    return {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p7_found": p7_found, "p7_repair": p7_repair, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
 
 
 def oracle_sql() -> dict[str, str]:

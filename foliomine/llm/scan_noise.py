@@ -334,8 +334,7 @@ def paragraphs(lines: list[str]) -> str:
     if len(lines) < 2:
         return "".join(lines)
     width = max(map(len, lines))
-    # state: whether a paragraph begins at the line; its cost so far and the choice before it
-    costs = [(0.0, None, None)]
+    # states: the line goes on with the paragraph, or begins one; the least cost so far of each
     states = [[0.0, 0.0]]
     back: list[tuple[int, int]] = []
     for i in range(1, len(lines)):
@@ -358,11 +357,8 @@ def paragraphs(lines: list[str]) -> str:
         if state == 1:
             breaks.append(i)
         state = back[i - 1][state]
-    del costs
-    out, begins = [lines[0]], set(breaks)
-    for i in range(1, len(lines)):
-        out.append(("\n" if i in begins else " ") + lines[i].strip() if i not in begins else "\n" + lines[i])
-    return "".join(out)
+    begins = set(breaks)
+    return lines[0] + "".join("\n" + line if i in begins else " " + line.strip() for i, line in enumerate(lines[1:], 1))
 
 
 def word_counts(texts: DataFrame) -> tuple[dict[str, int], int]:
