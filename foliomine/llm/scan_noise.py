@@ -30,6 +30,8 @@ STRONG = 1e-5
 RATIO = 20
 MAX_COST = 3.2
 JUNK_SHARE = 0.35
+#: Characters of the widest printed column.
+COLUMN = 110
 CACHE = 400_000
 
 #: What is seen, what was printed, and the cost of reading it so.
@@ -343,8 +345,9 @@ def paragraphs(lines: list[str]) -> str:
         ended = before[-1:] in ".!?:”\"" or (not before[-1:].isalnum() and before[-1:] != ",")
         short = len(before) < 0.7 * width
         upper = line[:1].isupper() or line[:1].isdigit()
-        cut_cost = 0.0 if listed else (0.4 if ended and short else 1.5 if ended and upper else 3.0) + (0.0 if upper else 1.0)
-        join_cost = 6.0 if listed else (1.2 if ended and short else 0.3) + (1.0 if short and upper and not ended else 0.0)
+        cut_cost = 0.0 if listed else (0.4 if ended and short else 0.8 if short and upper else 1.5 if ended and upper else 3.0) + (0.0 if upper else 1.0)
+        # lines longer than a printed column were not wrapped: their ends are meant
+        join_cost = 6.0 if listed else (1.2 if ended and short else 0.3) + (1.0 if short and upper else 0.0) + (4.0 if width > COLUMN and upper else 0.0)
         previous = states[-1]
         # two breaks in a row make a paragraph of one line, which costs a little unless it is listed
         begin = [(previous[0] + cut_cost, 0), (previous[1] + cut_cost + (0.0 if listed else 0.3), 1)]
