@@ -12,6 +12,26 @@ from foliomine.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _words(spark: SparkSession, folder: str) -> list[tuple[str, str]]:
+    rows = table(spark, folder, "word_freq").where("word is not null and lang is not null").select("word", "lang").distinct()
+    if rows.count() > 2_000_000:
+        raise ValueError("the reference list is too long to be sent to the tasks")
+    return sorted((r["word"], r["lang"]) for r in rows.collect())
+
+
+def p1_pairs(spark: SparkSession, folder: str) -> DataFrame:
+    """Every log with its defect, if any, and the share of the answer under each tag."""
+    from foliomine.llm.broken_pairs import defects
+
+    return defects(table(spark, folder, "query_logs"), _words(spark, folder)).withColumn("cover", F.to_json("cover"))
+
+
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    from foliomine.llm.broken_pairs import defects
+
+    return defects(table(spark, folder, "query_logs"), _words(spark, folder)).select("log_id", "defect").where(F.col("defect").isNotNull())
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from foliomine.llm.markup import markup_found
 
@@ -165,7 +185,7 @@ s AS (SELECT doc, line FROM c JOIN r USING (doc) WHERE n >= 5 AND n >= 0.03 * n_
 
 
 def queries() -> dict[str, Query]:
-    return {"p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p7_found": p7_found, "p7_repair": p7_repair, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
+    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p7_found": p7_found, "p7_repair": p7_repair, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
 
 
 def oracle_sql() -> dict[str, str]:
