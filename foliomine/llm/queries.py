@@ -32,6 +32,20 @@ def p1_found(spark: SparkSession, folder: str) -> DataFrame:
     return defects(table(spark, folder, "query_logs"), _words(spark, folder)).select("log_id", "defect").where(F.col("defect").isNotNull())
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    from foliomine.llm.disclosure import items_found
+
+    found = items_found(table(spark, folder, "query_logs"), [w for w, _ in _words(spark, folder)])
+    return found.select(F.col("row_id").alias("log_id"), "field_name", "pii_type", "start_pos")
+
+
+def p2_clean(spark: SparkSession, folder: str) -> DataFrame:
+    """Both fields of every log with placeholders."""
+    from foliomine.llm.disclosure import sanitised
+
+    return sanitised(table(spark, folder, "query_logs"), [w for w, _ in _words(spark, folder)]).withColumnRenamed("row_id", "log_id")
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     from foliomine.llm.markup import markup_found
 
@@ -185,7 +199,7 @@ s AS (SELECT doc, line FROM c JOIN r USING (doc) WHERE n >= 5 AND n >= 0.03 * n_
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p7_found": p7_found, "p7_repair": p7_repair, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
+    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p7_found": p7_found, "p7_repair": p7_repair, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
 
 
 def oracle_sql() -> dict[str, str]:
