@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from foliomine.functions.text import SPACE, first_line, lines, pipe_cells, squash, strip
+from foliomine.functions.text import SPACE, first_line, let, lines, pipe_cells, squash, strip
 
 RULER = rf"^[{SPACE}]*\|?[{SPACE}|:-]+\|?[{SPACE}]*$"
 
@@ -27,35 +27,46 @@ def _row(cells: Column) -> Column:
     return F.concat(F.lit("| "), F.array_join(cells, " | "), F.lit(" |"))
 
 
+def _page(rows: Column, width: Column) -> Column:
+    """Header, ruler and body of rows of one width."""
+    ruler = _row(F.array_repeat(F.lit("---"), width))
+    body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda r: _row(r))
+    return F.array_join(F.concat(F.array(_row(rows[0]), ruler), body), "\n")
+
+
 def to_markdown(rows: Column) -> Column:
     """Rows as a pipe table padded to the widest row; '' if nothing is left."""
-    rows = clean_rows(rows)
-    width = F.array_max(F.transform(rows, F.size))
-    full = F.transform(rows, lambda r: F.concat(r, F.array_repeat(F.lit(""), width - F.size(r))))
-    ruler = _row(F.array_repeat(F.lit("---"), width))
-    body = F.transform(F.slice(full, 2, F.greatest(F.size(full), F.lit(1))), _row)
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(_row(full[0]), ruler), body), "\n")).otherwise("")
+
+    def padded(kept: Column) -> Column:
+        width = F.array_max(F.transform(kept, lambda r: F.size(r)))
+        full = let(width, lambda w: F.struct(w.alias("w"), F.transform(kept, lambda r: F.concat(r, F.array_repeat(F.lit(""), w - F.size(r)))).alias("r")))
+        return F.when(F.size(kept) > 0, let(full, lambda x: _page(x["r"], x["w"]))).otherwise("")
+
+    return let(clean_rows(rows), padded)
 
 
 def to_markdown_by_header(rows: Column) -> Column:
     """Rows as a pipe table cut or padded to the header's width; cells as they are, null cells empty."""
-    rows = F.transform(F.filter(F.coalesce(rows, F.array().cast("array<array<string>>")), lambda r: r.isNotNull()), lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))
-    width = F.size(rows[0])
-    fit = lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width)
-    body = F.transform(F.slice(rows, 2, F.greatest(F.size(rows), F.lit(1))), lambda r: _row(fit(r)))
-    return F.when(F.size(rows) > 0, F.array_join(F.concat(F.array(_row(rows[0]), _row(F.array_repeat(F.lit("---"), width))), body), "\n")).otherwise("")
+    plain = F.transform(F.filter(F.coalesce(rows, F.array().cast("array<array<string>>")), lambda r: r.isNotNull()), lambda r: F.transform(r, lambda c: F.coalesce(c, F.lit(""))))
+
+    def fitted(kept: Column) -> Column:
+        width = F.size(kept[0])
+        return _page(F.transform(kept, lambda r: F.slice(F.concat(r, F.array_repeat(F.lit(""), width)), F.lit(1), width)), width)
+
+    return let(plain, lambda kept: F.when(F.size(kept) > 0, fitted(kept)).otherwise(""))
 
 
 def quality(rows: Column, min_rows: int = 2, min_cols: int = 2, filled: float = 0.30) -> Column:
     """``kept_rows, max_cols, filled_share, keep`` of a table's rows."""
-    rows = clean_rows(rows)
-    sizes = F.transform(rows, F.size)
-    total = F.aggregate(sizes, F.lit(0), lambda a, x: a + x)
-    full = F.aggregate(F.transform(rows, lambda r: F.size(F.filter(r, lambda c: c != ""))), F.lit(0), lambda a, x: a + x)
-    share = full / F.greatest(total, F.lit(1))
-    cols = F.coalesce(F.array_max(sizes), F.lit(0))
-    keep = (F.size(rows) >= min_rows) & (cols >= min_cols) & (share >= filled)
-    return F.struct(F.size(rows).alias("kept_rows"), cols.alias("max_cols"), F.round(share, 6).alias("filled_share"), keep.alias("keep"))
+
+    def judged(kept: Column) -> Column:
+        add = lambda f: F.aggregate(F.transform(kept, f), F.lit(0), lambda a, x: a + x)
+        share = add(lambda r: F.size(F.filter(r, lambda c: c != ""))) / F.greatest(add(lambda r: F.size(r)), F.lit(1))
+        cols = F.coalesce(F.array_max(F.transform(kept, lambda r: F.size(r))), F.lit(0))
+        facts = F.struct(F.size(kept).alias("n"), cols.alias("c"), share.alias("s"))
+        return let(facts, lambda x: F.struct(x["n"].alias("kept_rows"), x["c"].alias("max_cols"), F.round(x["s"], 6).alias("filled_share"), ((x["n"] >= min_rows) & (x["c"] >= min_cols) & (x["s"] >= filled)).alias("keep")))
+
+    return let(clean_rows(rows), judged)
 
 
 def caption(markdown: Column, explicit: Column) -> Column:
@@ -79,12 +90,18 @@ def search_text(markdown: Column, title: Column) -> Column:
 
 def is_navigation(markdown: Column) -> Column:
     """Index pages and tables of contents read as tables: at least 8 rows, half of them with page references or bare numbers."""
-    rows = F.filter(lines(markdown), lambda x: (strip(x) != "") & ~x.rlike(RULER))
-    index = F.filter(rows, lambda r: F.exists(pipe_cells(r), lambda c: c.rlike(rf",[{SPACE}]*[0-9]+([{SPACE}]*[-–][{SPACE}]*[0-9]+)?[{SPACE}]*$")))
-    number = F.filter(rows, lambda r: F.coalesce(F.try_element_at(F.filter(pipe_cells(r), lambda c: c != ""), F.lit(1)), F.lit("")).rlike("^[0-9]{1,3}$"))
-    half = lambda part: F.size(part) * 2 >= F.size(rows)
-    captioned = F.coalesce(F.try_element_at(rows, F.lit(1)), F.lit("")).rlike(r"(?i)\btable\s+[0-9]")
-    return (F.size(rows) >= 8) & ~captioned & (half(index) | half(number))
+    reference = rf",[{SPACE}]*[0-9]+([{SPACE}]*[-–][{SPACE}]*[0-9]+)?[{SPACE}]*$"
+    first = lambda cells: F.coalesce(F.try_element_at(F.filter(cells, lambda c: c != ""), F.lit(1)), F.lit(""))
+
+    def judged(rows: Column) -> Column:
+        cells = F.transform(rows, lambda r: pipe_cells(r))
+        facts = F.transform(cells, lambda r: F.struct(F.exists(r, lambda c: c.rlike(reference)).alias("i"), first(r).rlike("^[0-9]{1,3}$").alias("n")))
+        half = lambda k, x: F.size(F.filter(x, lambda y: y[k])) * 2 >= F.size(rows)
+        captioned = rows[0].rlike(r"(?i)\btable\s+[0-9]")
+        return F.when((F.size(rows) >= 8) & ~captioned, let(facts, lambda x: half("i", x) | half("n", x))).otherwise(False)
+
+    kept = F.filter(lines(markdown), lambda x: x.rlike(rf"[^{SPACE}]") & ~x.rlike(RULER))
+    return let(kept, lambda rows: F.when(F.size(rows) >= 8, judged(rows)).otherwise(False))
 
 
 def is_droppable(markdown: Column) -> Column:
@@ -106,16 +123,17 @@ def is_fragment(markdown: Column, explicit: Column) -> Column:
 def collapse_repeats(text: Column) -> Column:
     """Rows of one value repeated over all cells become the value; long cells equal to the one before are dropped."""
 
-    def row(line: Column) -> Column:
-        cells = F.transform(F.split(line, r"\|"), strip)
-        cells = F.when(cells[0] == "", F.slice(cells, 2, F.greatest(F.size(cells), F.lit(1)))).otherwise(cells)
-        cells = F.when((F.size(cells) > 0) & (F.try_element_at(cells, F.lit(-1)) == ""), F.slice(cells, F.lit(1), F.size(cells) - 1)).otherwise(cells)
+    def joined(cells: Column) -> Column:
         filled = F.filter(cells, lambda c: c != "")
         kept = F.filter(cells, lambda c, i: (c != "") & ((i == 0) | (F.length(c) < 20) | (F.get(cells, i - 1) != c)))
-        return F.when((F.size(filled) >= 2) & (F.size(F.array_distinct(filled)) == 1), filled[0]).otherwise(F.array_join(kept, " | "))
+        return let(filled, lambda f: F.when((F.size(f) >= 2) & (F.size(F.array_distinct(f)) == 1), f[0]).otherwise(F.array_join(kept, " | ")))
+
+    def row(line: Column) -> Column:
+        head = lambda c: F.when(c[0] == "", F.slice(c, 2, F.greatest(F.size(c), F.lit(1)))).otherwise(c)
+        tail = lambda c: F.when((F.size(c) > 0) & (F.try_element_at(c, F.lit(-1)) == ""), F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c)
+        return let(F.transform(F.split(line, r"\|"), lambda c: strip(c)), lambda c: let(head(c), lambda h: let(tail(h), joined)))
 
-    text = F.coalesce(text, F.lit(""))
-    ruler = lambda x: (strip(x) != "") & strip(x).rlike(r"^[|\-: ]+$")
+    ruler = lambda x: x.rlike(rf"^[{SPACE}]*[|\-:][|\-: ]*[{SPACE}]*$")
     kept = F.filter(F.split(text, "\n"), lambda x: ~ruler(x))
-    out = F.filter(F.transform(kept, lambda x: F.when(F.contains(x, F.lit("|")), row(x)).otherwise(x)), lambda x: strip(x) != "")
-    return F.when(F.contains(text, F.lit("|")), strip(F.array_join(out, "\n"))).otherwise(strip(text))
+    out = F.filter(F.transform(kept, lambda x: F.when(F.contains(x, F.lit("|")), row(x)).otherwise(x)), lambda x: x.rlike(rf"[^{SPACE}]"))
+    return F.when(F.contains(text, F.lit("|")), strip(F.array_join(out, "\n"))).otherwise(strip(F.coalesce(text, F.lit(""))))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -11,6 +13,11 @@ SPACE = r"\s\x0B\x1C-\x1F\x85\u00a0\u1680\u2000-\u200a  \u202f\u205f\u3000"
 LINE_END = r"\n\r\x0B\x0C\x1C-\x1E\x85  "
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def strip(c: Column) -> Column:
     """Without white space at either end."""
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
@@ -58,10 +65,9 @@ def title_case(c: Column) -> Column:
 
 def mask_name(c: Column) -> Column:
     """The first three letters of the first name; blank and null names are anonymous."""
+    shown = lambda x: F.concat(F.upper(F.substring(x, 1, 1)), F.lower(F.substring(x, 2, 2)))
     first = F.split(squash(F.coalesce(c, F.lit(""))), " ")[0]
-    head = F.substring(first, 1, 3)
-    shown = F.concat(F.upper(F.substring(head, 1, 1)), F.lower(F.substring(head, 2, 2)))
-    return F.when(first != "", F.concat(F.lit("Dr. "), shown, F.lit("**"))).otherwise("Dr. Anonymous")
+    return let(first, lambda x: F.when(x != "", F.concat(F.lit("Dr. "), shown(x), F.lit("**"))).otherwise("Dr. Anonymous"))
 
 
 def pieces(c: Column, width: int, step: int | None = None) -> Column:

@@ -50,9 +50,12 @@ def idf(freqs: DataFrame, n: int) -> DataFrame:
 
 def bm25_scores(corpus: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", qkey: str = "query_id", qtext: str = "query_text") -> DataFrame:
     """``qkey, key, score`` of every record that shares a term with a question; repeated question terms count again."""
-    sizes = corpus.select(F.size(tokens(F.col(text))).alias("n")).agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean")).first()
-    docs, mean = sizes["docs"], sizes["mean"] or 1.0
-    weights = idf(term_doc_freq(corpus, text), docs)
+    # one pass for all statistics: each term once per record, the record's length beside its first term
+    once = corpus.select(tokens(F.col(text)).alias("t")).select(F.size("t").alias("n"), F.posexplode(F.array_distinct("t")).alias("at", "term"))
+    freqs = once.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("at") == 0, F.col("n")).otherwise(0)).alias("n")).persist()
+    docs = corpus.count()
+    mean = ((freqs.agg(F.sum("n")).first()[0] or 0) / docs if docs else 0) or 1.0
+    weights = idf(freqs.select("term", "df"), docs)
     asked = questions.select(qkey, F.explode(tokens(F.col(qtext))).alias("term")).groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("qtf"))
     asked = asked.join(weights.select("term", "idf"), "term")
     # only terms that are asked for leave a record; tf and length are taken inside the record

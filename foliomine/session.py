@@ -65,6 +65,20 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: A table of at least so many bytes is worth spreading over the cores if its files give fewer splits; beyond the
+#: limit (a core's worth of scan) it has splits enough.
+SPREAD_BYTES, SPREAD_LIMIT = 500_000, 128 << 20
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """One table of a folder of Parquet tables."""
-    return prepare(spark).read.parquet(os.path.join(folder, f"{name}.parquet"))
+    """One table of a folder of Parquet tables.
+
+    A table in fewer splits than there are cores (one file, say) is spread over them; a large one, with splits enough,
+    is scanned as it lies.  Column pruning and filters go through to the scan either way.
+    """
+    df = prepare(spark).read.parquet(os.path.join(folder, f"{name}.parquet"))
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    if SPREAD_BYTES <= size < cores * SPREAD_LIMIT and df.rdd.getNumPartitions() < cores:
+        return df.repartition(cores)
+    return df
