@@ -24,6 +24,8 @@ BOOST = 0.010
 STUB = 80
 K1, B, EPSILON = 1.5, 0.75, 0.25
 MAX_QUESTION_VALUES = 50_000_000
+#: Terms of questions that are sent to every task.
+MAX_ASKED = 1_000_000
 
 
 def postings(corpus: DataFrame, key: str, text: str) -> DataFrame:
@@ -57,9 +59,13 @@ def bm25_scores(corpus: DataFrame, questions: DataFrame, key: str = "doc_id", te
     mean = ((freqs.agg(F.sum("n")).first()[0] or 0) / docs if docs else 0) or 1.0
     weights = idf(freqs.select("term", "df"), docs)
     asked = questions.select(qkey, F.explode(tokens(F.col(qtext))).alias("term")).groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = asked.join(weights.select("term", "idf"), "term")
+    asked = asked.join(weights.select("term", "idf"), "term").persist()
+    # a hot term would gather a third of all tokens in one task of a shuffled join: what is asked for is sent to the
+    # tasks once its size is checked, and joined by shuffle only beyond that
+    asked = F.broadcast(asked) if asked.count() <= MAX_ASKED else asked
     # only terms that are asked for leave a record; tf and length are taken inside the record
     terms = asked.select("term").distinct()
+    terms = F.broadcast(terms) if terms.count() <= MAX_ASKED else terms
     long = corpus.select(F.col(key), tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("n_terms"), F.explode("t").alias("term"))
     found = long.join(terms, "term", "left_semi").groupBy(key, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
     part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.lit(float(mean))))
