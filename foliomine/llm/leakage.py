@@ -142,7 +142,6 @@ def shard_matches(tests: TestSuffixes, docs: list[int], texts: list[str]) -> dic
 
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
     """One row per affected document and item: ``doc_id``, ``item_id``, the longest match in words and where it starts."""
-    spark = documents.sparkSession
     items = items.select(F.col(item).cast("long").alias("i"), F.col(item_text).alias("t")).where("t is not null and i is not null")
     chars = items.agg(F.sum(F.length("t"))).first()[0] or 0
     blocks = max(1, -(-chars // MAX_TEST_CHARS))
@@ -159,11 +158,12 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
         narrow = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
         found = arrow_map(narrow, kernel, schema)
         result = found if result is None else result.unionByName(found)
-    assert result is not None and spark is not None
+    assert result is not None
     return result
 
 
 def without_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", **parameters) -> DataFrame:
     """The documents that hold no passage of a test item; all columns stay."""
     bad = leaks(documents, items, doc=doc, **parameters).select(F.col("doc_id").alias("_leaked")).distinct()
-    return documents.join(bad, F.col(doc) == F.col("_leaked"), "left_anti")
+    own = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_own"), F.col(f"`{doc}`").alias("_key"))
+    return own.join(bad, F.col("_key") == F.col("_leaked"), "left_anti").select("_own.*")

@@ -147,7 +147,7 @@ def pack(df: DataFrame, item: str, text: str, source: str, capacity: int = CAPAC
         mixture = right.column("mix")[0].as_py() if right.num_rows else []
         names = ["source", "size", "item_id", "piece", "first_token"]
         columns = [left.column(c).to_pylist() for c in names]
-        items = sorted(((s, n, (i, p, f)) for s, n, i, p, f in zip(*columns, strict=True)), key=lambda x: hash((x[2][0] * 2654435761 + x[2][1]) & 0xFFFFFFFF))
+        items = sorted(((s, n, (i, p, f)) for s, n, i, p, f in zip(*columns, strict=True)), key=lambda x: (((x[2][0] or 0) * 2654435761 + x[2][1]) & 0xFFFFFFFF, x[2][1]))
         limit = float(window * capacity)
         got = pack_shard(items, {m["source"]: m["target"] for m in mixture}, {m["source"]: max(-limit, min(limit, m["short"])) for m in mixture}, capacity, window)
         return pa.table(

@@ -11,6 +11,8 @@ Null sources have no site; their lines are never cases.  Null and blank texts co
 
 from __future__ import annotations
 
+from math import log
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -44,7 +46,6 @@ def excess_lines(df: DataFrame, source: str, text: str, row: str, min_rows: int
 
     ``row`` must be unique.  An empty table gives no pairs.
     """
-    spark = df.sparkSession
     total = df.where(F.col(source).isNotNull()).count()
     rows = df.where(F.col(source).isNotNull()).groupBy(F.col(source).alias("source")).agg(F.count(F.lit(1)).alias("n_rows"))
     # a line twice in a text is one row: the distinct keys are taken within the text, before the shuffle
@@ -77,14 +78,11 @@ def excess_lines(df: DataFrame, source: str, text: str, row: str, min_rows: int
     # the step needs ranks: a histogram of fixed width gives them without sorting pairs in one task
     bins = pairs.groupBy(F.floor(F.col("log_p") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
     limit, seen, m = None, 0, sum(b["n"] for b in bins)
-    from math import log
-
     for b in sorted(bins, key=lambda x: x["bin"]):
         seen += b["n"]
         if (b["bin"] + 1) * BIN <= log(fdr * seen / m):
             limit = b["bin"]
     keep = F.lit(False) if limit is None else F.floor(F.col("log_p") / BIN) <= limit
-    del spark
     return pairs.where(keep).drop("log_p")
 
 
@@ -97,9 +95,14 @@ def marked_lines(df: DataFrame, source: str, text: str, row: str, min_rows: int
 
 
 def without_site_lines(df: DataFrame, source: str, text: str, row: str, **parameters) -> DataFrame:
-    """All rows and columns, the text without the marked lines, plus ``removed_lines``.  Texts without cases are unchanged."""
+    """All rows and columns, the text without the marked lines, plus ``removed_lines``, which replaces a column of that name.
+
+    Texts without cases are unchanged, null texts stay null.
+    """
     marks = marked_lines(df, source, text, row, **parameters).groupBy(F.col(row).alias("_row")).agg(F.collect_set("line_no").alias("_marks"))
-    joined = df.join(marks, F.col(row) == F.col("_row"), "left")
-    kept = F.filter(F.split(F.col(text), "\n"), lambda x, i: ~F.array_contains(F.col("_marks"), i + 1))
-    clean = F.when(F.col("_marks").isNull(), F.col(text)).otherwise(F.array_join(kept, "\n"))
-    return joined.select(*[clean.alias(c) if c == text else F.col(c) for c in df.columns], F.coalesce(F.size("_marks"), F.lit(0)).alias("removed_lines"))
+    own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own"), F.col(f"`{row}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
+    joined = own.join(marks, F.col("_key") == F.col("_row"), "left")
+    kept = F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains(F.col("_marks"), i + 1))
+    clean = F.when(F.col("_marks").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
+    columns = [clean.alias(c) if c == text else F.col("_own")[c].alias(c) for c in df.columns if c != "removed_lines"]
+    return joined.select(*columns, F.when(F.col("_marks").isNull(), 0).otherwise(F.size("_marks")).alias("removed_lines"))

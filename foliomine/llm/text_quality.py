@@ -35,7 +35,7 @@ GLYPH = r"\(cid:[0-9]+\)|/g[0-9]+\b"
 BULLET = r"^\s*(?:[-*+•‣▪●·–]|\(?[0-9]{1,3}[.)]|\(?[a-z][.)])\s+\S"
 CONTENTS = r"\.{4,}\s*[0-9]{1,4}\s*\|?\s*$"
 #: Entry and page numbers after commas, as in an index.
-INDEX = r"^[^.;:0-9]*\p{L}(?:,\s*[0-9]{1,4}(?:\s*[-–]\s*[0-9]{1,4})?){2,}\s*$"
+INDEX = r"^[^.;:0-9]*\p{L}(?:,\s*[0-9]{1,4}(?:\s*[-–]\s*[0-9]{1,4})?){2,40}\s*$"
 REFERENCE = r"(?:19|20)[0-9]{2};\s*[0-9]+"
 COLUMNS = r"\S(?:\t|\s{2,}|\s\|\s)\S.*\S?(?:\t|\s{2,}|\s\|\s)\S"
 PAGE_NO = r"^\s*(?:[-–—\[(|]\s*)?(?:p\.?\s*|page\s+)?[0-9]{1,4}(?:\s*[-–—\])|])?\s*$"
@@ -48,6 +48,10 @@ RUNNING = (
 )
 
 
+#: The columns that are added.
+RESULTS = ("n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "alpha_share", "common_share", "stop_line_share", "bullet_line_share", "ellipsis_line_share", "reasons", "text_class")
+
+
 def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern))
 
@@ -62,8 +66,9 @@ def _junk_line(line: Column) -> Column:
     """Glyph codes, symbols only, one character over and over, runs of one or two letters, letters mixed with digits."""
     glyphs = line.rlike(GLYPH) & (F.length(F.regexp_replace(line, GLYPH, "")) * 2 < F.length(line))
     symbols = line.rlike(r"^[^\p{L}\p{N}]{6,}$")
-    repeat = line.rlike(r"^\s*(\S)(?:\1|\s){9,}$")
-    soup = line.rlike(r"^\s*(?:\p{L}{1,2}\s+){7,}\p{L}{0,2}\s*$")
+    # nothing that nests deeper as the line grows: a line of any length must do
+    repeat = ~line.rlike(r"(\S)\s*(?!\1|\s)\S") & (F.length(line) >= 10)
+    soup = ~line.rlike(r"\p{L}{3}|[^\p{L}\s]") & (_count(line, r"\S+") >= 8)
     coded = line.rlike(r"(?:^|\s)[\p{L}#]*[0-9#][0-9#]*\p{L}[\p{L}0-9#]*\s") & (
         _count(line, r"(?:^|(?<=\s))(?=\S*\p{L})(?=\S*[0-9#])[\p{L}0-9#]+(?=\s|$)") * 5 >= _count(line, r"\S+") * 2
     )
@@ -89,7 +94,7 @@ def _table_line(line: Column) -> Column:
         .when(line.rlike(CONTENTS) | line.rlike(r"\p{L},\s*[0-9]{1,4},\s*[0-9]{1,4}\s*[-–]\s*[0-9]{1,4}\s*(?:\||$)"), "list")
         .when(~bare.rlike(r"[\p{L}\p{N}]"), "junk")
         .when(line.rlike(PAGE_NO), "page")
-        .when(line.rlike(r"(?:[\p{L}\p{N}’'–-]+[,;:]?\s+){8,}[\p{L}\p{N}’'–-]+[.!?]\s*(?:\||$)|[\p{L})]\.\s+\p{Lu}\p{Ll}*\s+\p{Ll}"), "prose")
+        .when(line.rlike(r"(?:[\p{L}\p{N}’'–-]+[,;:]?\s+){8}[^|]*[\p{L}\p{N}’'–-]+[.!?]\s*(?:\||$)|[\p{L})]\.\s+\p{Lu}\p{Ll}*\s+\p{Ll}"), "prose")
         .otherwise("table")
     )
 
@@ -98,9 +103,12 @@ def quality(df: DataFrame, text: str, promised: str) -> DataFrame:
     """Add the statistics, ``reasons`` and ``text_class`` of a text column.
 
     ``promised`` is what the table should hold: ``prose`` takes lines as they are, ``table`` as rows of a pipe table.
-    Extra columns pass through.  Ties between types fall to the promised one, then list, table, junk.
+    Extra columns pass through; one that has the name of a result is replaced by it.  Ties between types fall to the
+    promised one, then list, table, junk.
     """
-    body = F.coalesce(F.col(text), F.lit(""))
+    own = [c for c in df.columns if c not in RESULTS]
+    df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_body"))
+    body = F.col("_body")
     kind = _block_line if promised == "prose" else _table_line
     df = df.withColumn("_lines", F.split(_plain(body), "\n"))
     df = df.withColumn("_typed", F.transform("_lines", lambda x: F.struct(kind(x).alias("k"), F.length(F.trim(x)).alias("n"))))
@@ -163,4 +171,4 @@ def quality(df: DataFrame, text: str, promised: str) -> DataFrame:
         .when(F.col(f"_{other}") == best, other)
         .otherwise("junk"),
     )
-    return df.drop(*[c for c in df.columns if c.startswith("_")])
+    return df.select(*[F.col("_own")[c].alias(c) for c in own], *RESULTS)
