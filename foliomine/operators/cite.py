@@ -26,12 +26,12 @@ def citations(found: DataFrame, picked: DataFrame, key: str, chunk_id: str = "id
     Chunks stand in natural order of their ids; a table gives its first part only.  Markers without a chunk are left
     out.  The page is compared as text.
     """
-    own = picked.select(key, F.lower(F.coalesce(F.col(source), F.lit(""))).alias("book"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"), F.col(chunk_id).alias("id"), F.col(kind).alias("kind"), F.col(text).alias("doc"))
+    own = picked.select(key, F.lower(F.coalesce(F.col(source), F.lit(""))).alias("book"), F.coalesce(F.col(page).cast("string"), F.lit("")).alias("page"), F.col(chunk_id).alias("_cid"), F.col(kind).alias("_kind"), F.col(text).alias("_doc"))
     joined = found.join(own, [key, "book", "page"])
-    family = F.when(F.col("kind") == "table", F.regexp_replace("id", r"_c[0-9]+$", "")).otherwise(F.col("id"))
-    first = Window.partitionBy(key, "book", "page", "kind", family).orderBy(natural_key(F.col("id")))
-    kept = joined.withColumn("n", F.row_number().over(first)).where((F.col("n") == 1) | (F.col("kind") != "table"))
-    parts = F.array_sort(F.collect_list(F.struct(natural_key(F.col("id")).alias("o"), F.col("id").alias("i"), collapse_repeats(F.col("doc")).alias("d"))))
+    family = F.when(F.col("_kind") == "table", F.regexp_replace("_cid", r"_c[0-9]+$", "")).otherwise(F.col("_cid"))
+    first = Window.partitionBy(key, "book", "page", "_kind", family).orderBy(natural_key(F.col("_cid")))
+    kept = joined.withColumn("_n", F.row_number().over(first)).where((F.col("_n") == 1) | (F.col("_kind") != "table"))
+    parts = F.array_sort(F.collect_list(F.struct(natural_key(F.col("_cid")).alias("o"), F.col("_cid").alias("i"), collapse_repeats(F.col("_doc")).alias("d"))))
     cited = kept.groupBy(key, "book", "page", "pos").agg(F.transform(parts, lambda x: x["i"]).alias("ids"), F.transform(parts, lambda x: x["d"]).alias("passages"))
     order = Window.partitionBy(key).orderBy("pos")
     return cited.select(key, (F.row_number().over(order) - 1).alias("cite_no"), "book", F.col("page").cast("int").alias("page"), "ids", "passages")
