@@ -146,6 +146,8 @@ class Finder:
                 kept[i] = strong[i] or (left is not None and words[left].group(0).lower() in reveals) or (right is not None and words[right].group(0).lower() in reveals)
             elif left is not None and strong[left] and text[words[left].end()] != ",":
                 kept[i] = True  # a surname after a known first name
+            elif left is not None and kept[left] and text[words[left].end() : m.start()] == "-":
+                kept[i] = True
             elif i and words[i - 1].group(0).lower() in TITLES and re.fullmatch(r"\.?\s+", text[words[i - 1].end() : m.start()]):
                 kept[i] = True
             elif context(text, m.start()) in self.contexts:

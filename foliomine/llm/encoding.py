@@ -118,7 +118,7 @@ class PairModel:
         total, before = 0.0, " "
         n = len(token)
         alone = token.strip("\"'()[]{}.,;:!?/")
-        if len(alone) == 1 and alone.isalpha():  # a letter by itself: a one-letter word, or spoken of as a letter
+        if len(alone) == 1 and (alone.isalpha() or alone in SYMBOLS):  # a one-letter word, or a sign that is spoken of
             return math.log(1e-3)
         for i, c in enumerate(token):
             after = token[i + 1] if i + 1 < n else " "
@@ -315,7 +315,9 @@ def garbled(df: DataFrame, words: list[str], row: str = "doc_id", text: str = "t
 
 def restore(df: DataFrame, words: list[str], row: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """``row_id, text, restored_units`` of the garbled texts, every garbled unit undone by its chain."""
-    marks = garbled_units(df, words, row, text, source).groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("unit", "chain"))).alias("chains"))
+    # a row that is there twice has its marks twice
+    marks = garbled_units(df, words, row, text, source).groupBy("row_id", "unit").agg(F.max("chain").alias("chain"))
+    marks = marks.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("unit", "chain"))).alias("chains"))
     both = df.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(row).cast("long").alias("row_id"), F.col(text).alias("text")).join(marks, "row_id")
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:

@@ -42,8 +42,8 @@ PAGE_NO = r"^\s*(?:[-–—\[(|]\s*)?(?:p\.?\s*|page\s+)?[0-9]{1,4}(?:\s*[-–
 RUNNING = (
     r"^\s*(?:(?:(?i:chapter|section|part))\s+[0-9]+\s*[|·:–-]?\s*\S.{2,90}"
     r"|[0-9]{1,4}\s*:\s+\S.{2,90}\s[0-9]{1,4}"
-    r"|[0-9]{1,4}\s+\S.{1,50}\s[–|·]\s\S.{2,90}"
-    r"|\S.{2,90}\s[–|·]\s\S.{1,50}\s[0-9]{1,4}"
+    r"|[0-9]{1,4}\s+\p{L}[^|]{1,50}\s[–|·]\s\p{L}[^|]{2,90}"
+    r"|\p{L}[^|]{2,90}\s[–|·]\s\p{L}[^|]{1,50}\s[0-9]{1,4}"
     r"|[^\p{Ll}]{6,110}\s{2,}[0-9]{1,4})\s*$"
 )
 
