@@ -46,7 +46,7 @@ def test_pieces_guard_the_empty_text(spark):
 
 
 def test_tables(spark):
-    rows = [[["a", None], ["", ""], ["b­\nc", "d-\ne", "x"]], [], None]
+    rows = [[["a", None], ["", ""], ["b\u00ad\nc", "d-\ne", "x"]], [], None]
     assert values(spark, T.to_markdown(F.col("t")), rows, "t array<array<string>>") == ["| a |  |  |\n| --- | --- | --- |\n| bc | d-e | x |", "", ""]
     assert values(spark, T.to_markdown_by_header(F.col("t")), [[["a", "b"], ["1"], ["1", "2", "3"]]], "t array<array<string>>") == ["| a | b |\n| --- | --- |\n| 1 |  |\n| 1 | 2 |"]
     assert values(spark, T.quality(F.col("t")), [None], "t array<array<string>>")[0]["keep"] is False
