@@ -16,6 +16,8 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliomine.session import cut
+
 MIN_ROWS = 5
 MIN_SHARE = 0.03
 FDR = 0.05
@@ -73,6 +75,8 @@ def excess_lines(df: DataFrame, source: str, text: str, row: str, min_rows: int
     # upper bound of the tail of chi-square with one degree of freedom, in logarithms
     half = F.col("llr") / 2
     pairs = pairs.withColumn("log_p", F.when(half > 1, -half - 0.5 * F.log(half * 3.141592653589793)).otherwise(0.0))
+    # two passes read the pairs, so they are written once; they are few
+    pairs = cut(pairs)
     # the step needs ranks: a histogram of fixed width gives them without sorting pairs in one task
     bins = pairs.groupBy(F.floor(F.col("log_p") / BIN).alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
     limit, seen, m = None, 0, sum(b["n"] for b in bins)
