@@ -76,7 +76,8 @@ def top_ranked(scored: DataFrame, qkey: str, key: str, score: str, k: int, desce
     """The best k per question with a rank from 0."""
     order = F.round(score, 9)
     window = Window.partitionBy(qkey).orderBy(order.desc() if descending else order.asc(), F.col(key).asc())
-    return scored.withColumn("rank", F.row_number().over(window) - 1).where(F.col("rank") < k)
+    # the bare row number under the filter lets each partition keep its own best k before the shuffle
+    return scored.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= k).withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int = RAW_K, key: str = "doc_id", text: str = "text", qkey: str = "query_id", qtext: str = "query_text") -> DataFrame:
@@ -100,7 +101,7 @@ def only_sources(ranked: DataFrame, corpus: DataFrame, sources: list[str], k: in
     """The best 3k of all records cut to the allowed sources, then to k: the limit comes before the filter."""
     allowed = ranked.where(F.col("rank") < 3 * k).join(corpus.where(F.col(source).isin(sources)).select(key), key, "left_semi")
     window = Window.partitionBy(qkey).orderBy("rank")
-    return allowed.withColumn("rank", F.row_number().over(window) - 1).where(F.col("rank") < k)
+    return allowed.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= k).withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
 def dense_topk(vectors: DataFrame, questions: DataFrame, k: int = RAW_K, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id") -> DataFrame:
@@ -168,7 +169,8 @@ def kept_hits(fused: DataFrame, corpus: DataFrame, keep: int = KEEP, boosted: st
     for prefix in denied:
         hits = hits.where(~F.col(key).cast("string").startswith(prefix))
     window = Window.partitionBy(qkey).orderBy(F.round("rrf", 9).desc(), F.col("dense_rank").asc_nulls_last(), F.col("sparse_rank").asc_nulls_last(), F.col(key))
-    return hits.withColumn("hit_rank", F.row_number().over(window) - 1).where(F.col("hit_rank") < keep).drop("_kind", "_size", "_figure")
+    best = hits.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= keep)
+    return best.withColumn("hit_rank", F.col("_n") - 1).drop("_kind", "_size", "_figure", "_n")
 
 
 def expand_acronyms(text: Column, acronyms: dict[str, str], blocked: tuple[str, ...] = ("an", "ar", "pet", "spa", "us")) -> Column:

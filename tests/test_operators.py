@@ -177,3 +177,29 @@ def test_streams_equal_batches(spark, tmp_path, data):
     entries = spark.table("held").collect()[0]["entries"]
     last = [r["entry"] for r in logs.last_entries(turns).orderBy(F.col("entries_back").desc()).collect()]
     assert entries == last and len(entries) == 20
+
+
+def test_parsed_files_and_tables(spark, tmp_path):
+    from foliomine.sources import parsed
+
+    (tmp_path / "book.pdf").write_bytes(b"one\ntwo")
+    (tmp_path / "other.txt").write_bytes(b"no")
+    got = parsed.parsed_files(spark, str(tmp_path), lambda b: [(i + 1, t) for i, t in enumerate(b.decode().split("\n"))], "page int, text string")
+    assert sorted(tuple(r) for r in got.collect()) == [("book", 1, "one"), ("book", 2, "two")]
+    raw = spark.createDataFrame([("d", 1, 0, [["", None]]), ("d", 1, 1, [[" a ", "b"], ["", ""], ["1", "2"]]), ("d", 1, 2, [["x", "y"], ["1", None]])], "doc string, page int, ord int, rows array<array<string>>")
+    assert [(r["table_index"], r["markdown"].split("\n")[0]) for r in parsed.simple_tables(raw).orderBy("table_index").collect()] == [(0, "| a | b |"), (1, "| x | y |")]
+    boxed = raw.select("*", *[F.lit(1.25).alias(c) for c in ("x0", "y0", "x1", "y1")])
+    assert [(r["table_index"], r["n_rows"], r["bbox"]) for r in parsed.found_tables(boxed).orderBy("table_index").collect()] == [(1, 2, "1.3,1.3,1.3,1.3"), (2, 2, "1.3,1.3,1.3,1.3")]
+    conv = spark.createDataFrame([("d", 1, 0, " ", None, 1, 1), ("d", 1, 1, "| a |", "", 1, 1), ("d", None, 2, "| b |", "Cap", 1, 1)], "doc string, page int, ord int, markdown string, caption string, n_rows int, n_cols int")
+    assert sorted((r["page"] or 0, r["table_index"], r["caption"]) for r in parsed.converted_tables(conv).collect()) == [(0, 0, "Cap"), (1, 0, None)]
+    assert sorted((r["page"] or 0, r["table_index"]) for r in parsed.converted_tables_only(conv, 10).collect()) == [(0, 2), (11, 1)]
+    assert [tuple(r) for r in parsed.caption_set(conv).collect()] == [("d", "cap")]
+    reply = spark.range(1).select(parsed.joined_text_blocks(F.array(F.struct(F.lit("text").alias("type"), F.lit(" a").alias("text")), F.struct(F.lit("tool").alias("type"), F.lit("x").alias("text")), F.struct(F.lit("text").alias("type"), F.lit("b ").alias("text")))).alias("t"))
+    assert reply.collect()[0]["t"] == "ab"
+
+
+def test_top_k_is_cut_before_the_shuffle(spark):
+    scored = spark.range(1000).select((F.col("id") % 3).alias("query_id"), F.col("id").alias("doc_id"), F.rand(1).alias("score"))
+    top = retrieve.top_ranked(scored, "query_id", "doc_id", "score", 5)
+    plan = spark._jvm.PythonSQLUtils.explainString(top._jdf.queryExecution(), "simple")
+    assert plan.count("WindowGroupLimit") == 2
