@@ -129,6 +129,8 @@ class Normaliser:
                 return table, True, False
             # a Greek letter among small Latin ones is spelling; beside a capital or a digit it may be a symbol
             inner = any(c in GREEK and ((0 < i and bare[i - 1].islower() and bare[i - 1] not in GREEK) and (i + 1 < len(bare) and bare[i + 1].islower())) for i, c in enumerate(bare))
+            # capitals that look like Latin ones are no symbols
+            inner = inner or all(c.isupper() for c in other)
             small = len(latin) >= 3 and all(c.islower() for c in latin[1:])
             return (table, True, False) if inner or small else (bare, False, False)
         # wholly of another script: Greek alone is a symbol or a word; Cyrillic is told by the rest of the record
