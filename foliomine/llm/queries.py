@@ -202,5 +202,24 @@ def queries() -> dict[str, Query]:
     return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p7_found": p7_found, "p7_repair": p7_repair, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
 
 
+P5_CLEAN = (
+    P5_LINES
+    + r"""
+, m AS (SELECT DISTINCT k.block_id, k.line_no FROM k JOIN s USING (doc, line)),
+a AS (SELECT block_id, CAST(unnest(range(1, len(string_split(text, chr(10))) + 1)) AS INT) AS line_no, unnest(string_split(text, chr(10))) AS line FROM blocks WHERE text IS NOT NULL),
+j AS (SELECT a.block_id, string_agg(line, chr(10) ORDER BY a.line_no) FILTER (WHERE m.line_no IS NULL) AS text, CAST(count(m.line_no) AS INT) AS removed_lines FROM a LEFT JOIN m ON m.block_id = a.block_id AND m.line_no = a.line_no GROUP BY a.block_id)
+SELECT b.block_id, b.doc, CASE WHEN b.text IS NOT NULL THEN coalesce(j.text, '') END AS text, coalesce(removed_lines, 0) AS removed_lines FROM blocks b LEFT JOIN j USING (block_id)
+"""
+)
+
+P9_WORDS = r"regexp_extract_all(lower(strip_accents({})), '[\p{{L}}\p{{N}}]+')"
+P9_FOUND = f"""
+WITH i AS (SELECT item_id, {P9_WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {P9_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+ig AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i)),
+dg AS (SELECT DISTINCT doc_id, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d))
+SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_LINES + "SELECT k.block_id, k.line_no FROM k JOIN s USING (doc, line)"}
+    return {"p5_found": P5_LINES + "SELECT k.block_id, k.line_no FROM k JOIN s USING (doc, line)", "p5_clean": P5_CLEAN, "p9_found": P9_FOUND}
