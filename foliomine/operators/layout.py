@@ -11,7 +11,7 @@ from foliomine.operators.scans import previous, running_last, running_sum
 PAGE_WIDTH = 595.0
 WIDE, GUTTER, LEAST_COLUMN = 0.60, 0.04, 0.15
 #: Labels of page furniture; they end a list but give no record.
-SKIPPED = ("page_header", "page_footer", "picture", "table", "footnote", "document_index", "formula", "form")
+SKIPPED = ("page_header", "page_footer", "document_index", "picture", "table", "table_of_contents", "form", "key_value_region")
 
 
 def boxes(df: DataFrame, bbox: str = "bbox") -> DataFrame:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from foliomine.functions.text import strip, tokens
 
+#: Depths, weights and floors of the ranking.
 RAW_K = 60
 KEEP = 9
 RRF_K = 60
@@ -173,7 +174,11 @@ def kept_hits(fused: DataFrame, corpus: DataFrame, keep: int = KEEP, boosted: st
     return best.withColumn("hit_rank", F.col("_n") - 1).drop("_kind", "_size", "_figure", "_n")
 
 
-def expand_acronyms(text: Column, acronyms: dict[str, str], blocked: tuple[str, ...] = ("an", "ar", "pet", "spa", "us")) -> Column:
+#: Small letters that are words and not acronyms.
+WORDS_NOT_ACRONYMS = ("an", "ar", "pet", "spa", "us")
+
+
+def expand_acronyms(text: Column, acronyms: dict[str, str], blocked: tuple[str, ...] = WORDS_NOT_ACRONYMS) -> Column:
     """The first allowed occurrence of each acronym is followed by its expansion; what is inserted isn't looked at again.
 
     Longest acronyms first; upper case always expands, other writings unless they are blocked.

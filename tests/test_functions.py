@@ -89,14 +89,15 @@ def test_acronyms(spark):
 
 
 def test_aliases(spark):
-    known = {"cummings": "cummings", "scott-brown": "scott", "scott brown": "scott", "scott": "scott", "stell & maran": "stell", "stell": "stell"}
-    assert values(spark, retrieve.route_aliases(F.col("t"), known), ["Scott Brown vs stell & maran", "a constellation of signs", "none", None]) == [["stell", "scott"], ["stell"], None, None]
+    known = {"auralis": "auralis", "otto-braun": "otto", "otto braun": "otto", "otto": "otto", "vella & moran": "vella", "vella": "vella"}
+    asked = ["Otto Braun vs vella & moran", "a novella of signs", "none", None]
+    assert values(spark, retrieve.route_aliases(F.col("t"), known), asked) == [["vella", "otto"], ["vella"], None, None]
 
 
 def test_markers_and_refusals(spark):
-    answers = spark.createDataFrame([(1, "[cummings, p.3431] [shaumbaugh, p.1042] [cummings p. 3431]"), (2, "[cummings, p.3431; shaumbaugh, p.1042] [x, p.742-743]"), (3, None)], "id int, answer string")
+    answers = spark.createDataFrame([(1, "[auralis, p.3431] [vestibula, p.1042] [auralis p. 3431]"), (2, "[auralis, p.3431; vestibula, p.1042] [x, p.742-743]"), (3, None)], "id int, answer string")
     got = {(r["id"], r["pos"], r["book"], r["page"]) for r in cite.markers(answers, "id", "answer").collect()}
-    assert got == {(1, 0, "cummings", "3431"), (1, 1, "shaumbaugh", "1042")}
+    assert got == {(1, 0, "auralis", "3431"), (1, 1, "vestibula", "1042")}
     assert values(spark, cite.is_refusal(F.col("t"), "nothing found"), ['"# Nothing found here', "x" * 360 + " nothing found", "well, nothing found", None]) == [True, False, True, False]
 
 
@@ -109,6 +110,6 @@ def test_citations_take_one_part_of_a_table(spark):
 
 def test_replies(spark):
     kind = "t string, c array<struct<book:string,page:int>>"
-    rows = [("a", [("scott_brown", 3), ("scott_brown", 3), (None, 4), ("x", None), (None, None)]), ("b", None)]
-    assert values(spark, cite.reply_with_sources(F.col("t"), F.col("c")), rows, kind) == ["a\n\n— Sources: Scott Brown p.3; p.4; X", "b"]
+    rows = [("a", [("otto_braun", 3), ("otto_braun", 3), (None, 4), ("x", None), (None, None)]), ("b", None)]
+    assert values(spark, cite.reply_with_sources(F.col("t"), F.col("c")), rows, kind) == ["a\n\n— Sources: Otto Braun p.3; p.4; X", "b"]
     assert values(spark, cite.envelope(F.col("t"), F.col("c"), F.lit(True)), [("b", None)], kind) == ["b\n\nSources: none\nGrounded: yes"]
