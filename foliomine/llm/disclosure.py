@@ -40,19 +40,19 @@ _AT = r"(?:\s*@\s*|\s*[\[({]\s*(?:at|arroba|chez)\s*[\])}]\s*)"
 _DOT = r"(?:\.|\s*[\[({]\s*(?:dot|punkt|point|punto|ponto)\s*[\])}]\s*)"
 EMAIL = re.compile(rf"(?<![\w.+\-]){_LOCAL}{_AT}[A-Za-z0-9\-]+(?:{_DOT}[A-Za-z0-9\-]+)+", re.I)
 
-_CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻŹ](?:[^\W\d_]|['’\-])*"
+_CAP = r"[A-ZÀ-ÖØ-ÞŁŚŻŹ](?:[^\W\d_]|['’\-]){0,40}"
 _STREET = r"(?:street|st|road|rd|lane|ln|close|avenue|ave|drive|court|place|square|way|terrace|crescent|gardens|grove|hill|row|walk|boulevard|blvd|mews|parade)"
 _TOWN = rf"(?:,? +(?:[A-Z]{{1,2}}-)?\d{{4,5}}(?:-\d{{3}})? +{_CAP}|, *{_CAP}(?: +{_CAP}\b(?! *[a-z]))?)"
 _CODE = r"(?:,? +[A-Z]{1,2}\d[A-Z\d]? +\d[A-Z]{2}|,? +[A-Z]{2} +\d{5}(?:-\d{4})?)"
 _FLAT = r"(?:,\s*(?i:apt|apartment|flat|unit|suite|no)\.?\s*\d+[a-z]?|,\s*\d{1,2}\s*[ºª°](?:\s*[A-Za-z]\b)?)"
-_WORD_ANY = r"[^\W\d_][\w'’\-]*"
+_WORD_ANY = r"[^\W\d_][\w'’\-]{0,40}"
 ADDRESS = re.compile(
     rf"(?<![\w])(?:"
     rf"(?:(?i:flat|apt|apartment|unit|suite)\.?\s*\d+[a-z]?,\s*)?\d{{1,4}}[a-z]?,?\s+(?:{_WORD_ANY}\s+){{1,3}}(?i:{_STREET})\b\.?"
     rf"|(?i:p\.?\s?o\.?\s?box|postfach|apartado(?:\s+de\s+correos)?|caixa\s+postal|skrytka\s+pocztowa|boîte\s+postale)\s*(?:nr\.?\s*|no\.?\s*)?\d+"
     rf"|\d{{1,4}}\s?(?:bis|ter|[a-z])?,?\s+(?i:rue|avenue|impasse|boulevard|allée|chemin|place|quai|cours|route|square)\s+(?:(?:de\s+la|de\s+l['’]|des|du|de|d['’])\s*)?{_CAP}(?:\s+{_CAP})?"
     rf"|(?i:calle|c/|avenida|av\.|plaza|paseo|rua|travessa|praça|largo|camino|ronda|estrada)\s+(?:(?:de\s+la|del|de\s+los|de|da|do|dos|das)\s+)?{_CAP}(?:\s+{_CAP}){{0,3}},?\s*(?:n\.?\s?[ºo°]\.?\s*)?\d{{1,4}}[a-z]?"
-    rf"|(?:{_CAP}\s)?[A-ZÄÖÜ][\wäöüß\-]*(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm)\s+\d{{1,4}}\s?[a-z]?\b"
+    rf"|(?:{_CAP}\s)?[A-ZÄÖÜ][\wäöüß\-]{{0,40}}(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm)\s+\d{{1,4}}\s?[a-z]?\b"
     rf"|(?i:ul\.|ulica|al\.|os\.)\s+{_CAP}(?:\s+{_CAP})?\s+\d{{1,4}}(?:/\d+)?"
     rf"){_FLAT}?{_TOWN}?{_CODE}?"
 )
@@ -65,7 +65,9 @@ PHONE = re.compile(r"(?<![\w.\-/])(?:\+\d{1,4}|00\d{2}|\(\+?\d{1,5}\)|\(?\d{2,5}
 NUMBERED = frozenset("lot batch charge trial study code audiogram sats pressure pages page pp p at ward bed pulse dose ref reference nct isbn doi year years vol no".split())
 
 _NAME_WORD = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]{2,})?")
-_INITIAL = re.compile(r"[^\W\d_]\.")
+_BEFORE = re.compile(r"(?<=[\s(–\-])((?:[^\W\d_]\.\s?){1,3})$")
+_AFTER = re.compile(r"[\s\-]*([^\W\d_]+)")
+_AFTER_ANOTHER = re.compile(rf"(?:-{_NAME_WORD.pattern})*[\s\-]+([^\W\d_]+)")
 
 
 def numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
@@ -81,7 +83,7 @@ def numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
         if 6 <= digits <= 16 and free(a, b):
             out.append((a, b, "id_number"))
     for m in ID_SHAPE.finditer(text):
-        before = re.findall(r"\w+", text[: m.start()])[-1:]
+        before = re.findall(r"\w+", text[max(0, m.start() - 40) : m.start()])[-1:]
         if free(*m.span()) and not (before and before[0].lower() in NUMBERED):
             out.append((*m.span(), "id_number"))
     for m in PHONE.finditer(text):
@@ -122,7 +124,12 @@ class Finder:
         return sorted(out)
 
     def names(self, text: str, taken: list[tuple[int, int]], reveals) -> list[tuple[int, int, str]]:
-        words = [m for m in _NAME_WORD.finditer(text) if all(m.end() <= a or b <= m.start() for a, b in taken)]
+        taken, k, words = sorted(taken), 0, []
+        for m in _NAME_WORD.finditer(text):
+            while k < len(taken) and taken[k][1] <= m.start():
+                k += 1
+            if k == len(taken) or m.end() <= taken[k][0]:
+                words.append(m)
         n = len(words)
         strong = [False] * n
         maybe = [False] * n
@@ -157,9 +164,9 @@ class Finder:
             if not kept[i]:
                 continue
             start = m.start()
-            initial = re.search(r"(?:(?<=^)|(?<=[\s(–\-]))((?:[^\W\d_]\.\s?){1,3})$", text[:start])
+            initial = _BEFORE.search(text[max(0, start - 12) : start] if start > 12 else f" {text[:start]}")
             if initial and initial.group(1)[0].isupper():
-                start = initial.start(1)
+                start -= len(initial.group(1))
             if spans and re.fullmatch(r"(?:\s|-|‐|\s[^\W\d_]\.\s?|,\s)(?:[^\W\d_]\.\s?)*", text[spans[-1][1] : m.start()]) and "\n" not in text[spans[-1][1] : m.start()] and (text[spans[-1][1]] != "," or spans[-1][2] == 1):
                 spans[-1][1] = m.end()
                 spans[-1][2] += 1
@@ -167,9 +174,9 @@ class Finder:
                 spans.append([start, m.end(), 1])
         out = []
         for a, b, _ in spans:
-            after = re.match(r"[\s\-]*([^\W\d_]+)", text[b:])
+            after = _AFTER.match(text, b, b + 200)
             # two names and a sign are the sign's
-            tail = re.match(rf"(?:-{_NAME_WORD.pattern})*[\s\-]+([^\W\d_]+)", text[b:])
+            tail = _AFTER_ANOTHER.match(text, b, b + 200)
             if any(t and t.group(1).lower() in EPONYMS for t in (after, tail)):
                 continue
             out.append((a, b, "name"))
