@@ -230,8 +230,8 @@ class Decoder:
             return 0.5 + found[0], body + right
         return 1.5, body + right
 
-    def read(self, text: str) -> tuple[list[tuple[str, str]], set[str], bool]:
-        """The lines left after headers and page numbers with their kind, the kinds of noise so far, whether it is junk."""
+    def read(self, text: str) -> tuple[list[str], set[str], bool, bool]:
+        """The lines left after headers and page numbers, the kinds of noise so far, whether it is junk, whether it must be decoded."""
         kinds, lines = set(), []
         for line in text.split("\n"):
             kind = page_or_header(line)
@@ -240,20 +240,50 @@ class Decoder:
             else:
                 lines.append(line)
         tokens = " ".join(lines).split()
-        known = sum(1 for t in tokens if self.is_fine(t))
+        fine = self.fine
+        odd = [t for t in tokens if t not in fine and not self.is_fine(t)]
         # spaced-out words would make junk of a short text
-        letters = sum(len(_WORD.findall(m.group(0))) for m in _SPACED.finditer(" ".join(lines)) if self.words.segment("".join(m.group(0).split()).lower())) if known < len(tokens) else 0
-        junk = bool(tokens) and known + letters < JUNK_SHARE * len(tokens)
-        return lines, kinds, junk
-
-    def decode(self, lines: list[str]) -> tuple[str, set[str]]:
-        """The cheapest reading of the stream of tokens; ends of lines are kept where no word runs over them."""
-        stream: list[tuple[str, str]] = []  # token, what follows it
+        letters = sum(len(_WORD.findall(m.group(0))) for m in _SPACED.finditer(" ".join(lines)) if self.words.segment("".join(m.group(0).split()).lower())) if len(odd) * 3 > len(tokens) else 0
+        junk = bool(tokens) and len(tokens) - len(odd) + letters < JUNK_SHARE * len(tokens)
+        return lines, kinds, junk, bool(odd)
+
+    @staticmethod
+    def stream(lines: list[str]) -> list[tuple[str, str]]:
+        """The tokens of a text and what follows each."""
+        out: list[tuple[str, str]] = []
         for line in lines:
             tokens = line.split()
-            stream += [(t, " ") for t in tokens]
+            out += [(t, " ") for t in tokens]
             if tokens:
-                stream[-1] = (tokens[-1], "\n")
+                out[-1] = (tokens[-1], "\n")
+        return out
+
+    def operations(self, lines: list[str]) -> set[str]:
+        """The kinds of noise in the cheapest reading.
+
+        A known word of several letters is read as itself, whatever stands around it; so the reading is found window
+        by window: the unknown tokens, one-letter words before them, and the token after them.
+        """
+        stream, fine, kinds = self.stream(lines), self.fine, set()
+        n, i = len(stream), 0
+        while i < n:
+            if stream[i][0] in fine or self.is_fine(stream[i][0]):
+                i += 1
+                continue
+            a = i
+            while a and len(_EDGE.sub("", stream[a - 1][0])) == 1:
+                a -= 1
+            b = i + 1
+            while b < n and not (stream[b][0] in fine and len(stream[b][0]) > 1 and stream[b - 1][0] in fine):
+                if stream[b][0] not in fine:
+                    self.is_fine(stream[b][0])
+                b += 1
+            kinds |= self.decode(stream[a:b], b == n)[1]
+            i = b
+        return kinds
+
+    def decode(self, stream: list[tuple[str, str]], last: bool = True) -> tuple[str, set[str]]:
+        """The cheapest reading of a stream of tokens; ends of lines are kept where no word runs over them."""
         n = len(stream)
         best: list[tuple[float, int, str, str]] = [(0.0, 0, "", "")] + [(1e9, 0, "", "")] * n
         for i in range(n):
@@ -279,7 +309,7 @@ class Decoder:
                 if whole:
                     misread = self.correct(whole[1]) if whole[0] > 0.7 else None
                     offer(i + 2, min(whole[0], 2.0), (misread[1] if misread else whole[1]) + stream[i + 1][1], "hyphen+ocr" if misread else "hyphen")
-            elif token[-1] in HYPHENS and token[-2:-1].isalpha() and i + 1 == n and after == "\n":
+            elif token[-1] in HYPHENS and token[-2:-1].isalpha() and i + 1 == n and last and after == "\n":
                 offer(i + 1, 3.9, token + after, "hyphen")  # broken over the end of the record
             core = _EDGE.sub("", token)
             if len(core) == 1 and core.isalpha():
@@ -313,21 +343,19 @@ class Decoder:
         """The kinds of noise in a record."""
         if suspect:
             text = self.normal.text(text)[0]
-        lines, kinds, junk = self.read(text)
+        lines, kinds, junk, odd = self.read(text)
         if heading:
             kinds.discard("header")
-        if not junk and any(not self.is_fine(t) for line in lines for t in line.split()):
-            kinds |= self.decode(lines)[1]
-        return kinds
+        return kinds | self.operations(lines) if odd and not junk else kinds
 
     def repair(self, text: str, suspect: bool, heading: bool) -> str:
         """A record as continuous paragraphs; junk is returned as it is."""
-        lines, _, junk = self.read(self.normal.text(text)[0] if suspect else text)
+        lines, _, junk, _ = self.read(self.normal.text(text)[0] if suspect else text)
         if junk:
             return text
         if heading:
             lines = text.split("\n")
-        decoded = self.decode(lines)[0].strip().split("\n") if lines else []
+        decoded = self.decode(self.stream(lines))[0].strip().split("\n") if lines else []
         return paragraphs(decoded)
 
 
