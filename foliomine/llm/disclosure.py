@@ -218,25 +218,26 @@ def registered(logs: DataFrame, name: str = "user_name", answer: str = "answer")
     return both.withColumn("bits", bits).where(F.col("bits") > TERM_BITS).select("word", "bits")
 
 
-def revealing_contexts(texts: DataFrame, terms: set[str], listed: set[str]) -> set[str]:
-    """The contexts that mostly introduce revealing terms, from all texts."""
+def revealing_contexts(texts: DataFrame, terms: set[str] | None, listed: set[str]) -> set[str]:
+    """The contexts that mostly introduce revealing terms, from all texts; without ``terms``, each text brings its own."""
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
         for b in batches:
             counts: dict[str, list[int]] = {}
-            for t in b["text"]:
+            for t, own in zip(b["text"], b["terms"], strict=True):
+                reveals = terms if terms is not None else set(own or ())
                 before = None
                 for m in _NAME_WORD.finditer(t):
                     low = m.group(0).lower()
-                    known = low in terms
-                    if len(low) > 1 and m.group(0)[0].isupper() and (known or low not in listed) and not (before and before in terms):
+                    known = low in reveals
+                    if len(low) > 1 and m.group(0)[0].isupper() and (known or low not in listed) and not (before and before in reveals):
                         got = counts.setdefault(context(t, m.start()), [0, 0])
                         got[0] += known
                         got[1] += 1
                     before = low
             yield {"context": list(counts), "known": [c[0] for c in counts.values()], "n": [c[1] for c in counts.values()]}
 
-    found = arrow_map(texts.where(F.col("text").isNotNull()), kernel, "context string, known long, n long").groupBy("context").agg(F.sum("known").alias("known"), F.sum("n").alias("n")).persist()
+    found = arrow_map(texts.select("text", "terms").where(F.col("text").isNotNull()), kernel, "context string, known long, n long").groupBy("context").agg(F.sum("known").alias("known"), F.sum("n").alias("n")).persist()
     try:
         total = found.agg(F.sum("n")).first()[0] or 0
         rows = found.where((F.col("n") >= CONTEXT_LEAST) & (F.col("n") >= CONTEXT_RATE * total) & (F.col("known") >= CONTEXT_SHARE * F.col("n"))).collect()
@@ -259,11 +260,12 @@ def _found(logs: DataFrame, listed: list[str], row: str, fields: tuple[str, ...]
     if n <= sent:
         known = {r["word"] for r in terms.collect()}
         terms.unpersist()
-        return texts.withColumn("terms", F.lit(None).cast("array<string>")), known, revealing_contexts(texts, known, listed_set), listed_set
+        plain = texts.withColumn("terms", F.lit(None).cast("array<string>"))
+        return plain, known, revealing_contexts(plain, known, listed_set), listed_set
     words = texts.select("row_id", "field_name", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,})"), F.lit(1)))).alias("word"))
     per_text = words.join(terms, "word").groupBy("row_id", "field_name").agg(F.collect_list("word").alias("terms"))
     joined = texts.join(per_text, ["row_id", "field_name"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
-    return joined, None, set(), listed_set
+    return joined, None, revealing_contexts(joined, None, listed_set), listed_set
 
 
 def items_found(logs: DataFrame, listed: list[str], row: str = "id", fields: tuple[str, ...] = ("question", "resolved_question"), sent: int = MAX_SENT) -> DataFrame:

@@ -40,6 +40,11 @@ def test_the_best_container_is_kept():
     assert "One, two" in text and "Another" in text and "Home" not in text and "Imprint" not in text
 
 
+@pytest.mark.parametrize("part", ["<div>x", "<table><tr><td>y", "\\begin{tabular}\n", "**a ", "_a ", "\\[", "{{a|", "[a](", "<!--"])
+def test_texts_of_any_make_are_read(part):
+    assert M.blocks(M.Parser(part * 4_000, True).root) is not None
+
+
 def test_markup_frames(spark):
     rows = [(1, "<b>x</b>"), (2, None), (3, ""), (4, "| a | " * 20_000), (5, "<b>x</b>"), (5, "<b>x</b>")]
     df = spark.createDataFrame(rows, "k long, t string").withColumn("text", F.lit(3)).withColumn("rec_id", F.lit("clash"))

@@ -110,6 +110,7 @@ def test_items(text, items):
 
 def pii_logs(spark):
     rows = [(i, f"Vika Tolin{c} {i % 7}", "Mara Tolin" if i % 2 else "Vika Zedomtov", f"The {w} is fine.") for i, (c, w) in enumerate(zip("?! " * 10, ["ear", "nose"] * 15, strict=False))]
+    rows += [(200 + i, f"Seen with Dr {n} today", "Vika Tolin", "x") for i, n in enumerate(["Vika", "Tolin", "Mara", "Vika", "Tolin", "Mara", "Unheard"])]
     rows += [(100, None, None, None), (101, "", None, ""), (102, "word " * 30_000 + "Mara", None, None), (103, "Dear Mara, ok", None, "x"), (103, "Dear Mara, ok", None, "x")]
     return spark.createDataFrame(rows, "id long, question string, user_name string, answer string").withColumn("resolved_question", F.col("question")).withColumn("text", F.lit("clash")).withColumn("terms", F.lit(1))
 
@@ -119,6 +120,7 @@ def test_frames_and_both_ways_of_sending_terms(spark):
     sent = {tuple(r) for r in D.items_found(df, ["ear", "nose", "dear", "word"]).collect()}
     joined = {tuple(r) for r in D.items_found(df, ["ear", "nose", "dear", "word"], sent=0).collect()}
     assert sent == joined
+    assert (206, "question", "name", 14) in sent
     assert (103, "question", "name", 6) in sent and (102, "resolved_question", "name", 150_001) in sent
     clean = {(r["row_id"], r["field_name"]): r["text"] for r in D.sanitised(df, ["ear", "dear", "word"]).collect()}
     assert clean[103, "question"] == "Dear [NAME], ok" and clean[101, "question"] == "" and (100, "question") not in clean
