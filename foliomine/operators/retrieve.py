@@ -105,20 +105,31 @@ def only_sources(ranked: DataFrame, corpus: DataFrame, sources: list[str], k: in
     return allowed.withColumn("_n", F.row_number().over(window)).where(F.col("_n") <= k).withColumn("rank", F.col("_n") - 1).drop("_n")
 
 
-def dense_topk(vectors: DataFrame, questions: DataFrame, k: int = RAW_K, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id") -> DataFrame:
+def dense_topk(vectors: DataFrame, questions: DataFrame, k: int = RAW_K, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", sent: int = MAX_QUESTION_VALUES) -> DataFrame:
     """``qkey, key, distance, rank``: the k nearest by squared distance, exact.
 
-    The questions' vectors are sent to the tasks, after a check of their size; each batch of vectors is held against
-    all of them and gives its own best k, so what is shuffled is small.  Null vectors are left out.
+    The questions' vectors are sent to the tasks in blocks of at most ``sent`` numbers, one pass over the vectors each;
+    each batch of vectors is held against all of a block and gives its own best k, so what is shuffled is small.
+    Null vectors are left out.
     """
-    rows = questions.where(F.col(vector).isNotNull()).select(qkey, vector).collect()
+    asked = questions.where(F.col(vector).isNotNull()).select(qkey, vector)
+    numbers = asked.agg(F.sum(F.size(vector))).first()[0] or 0
+    blocks = max(1, -(-numbers // sent))
+    near = None
+    for block in range(blocks):
+        part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == block)
+        found = _nearest(vectors, part.collect(), k, key, vector, qkey)
+        near = found if near is None else near.unionByName(found)
+    return top_ranked(near, qkey, key, "distance", k, descending=False)
+
+
+def _nearest(vectors: DataFrame, rows: list, k: int, key: str, vector: str, qkey: str) -> DataFrame:
+    """``qkey, key, distance``: of each batch of vectors the k nearest to each question."""
+    kind = dict(vectors.dtypes)[key]
     if not rows:
-        kinds = dict(vectors.dtypes)
-        return vectors.sparkSession.createDataFrame([], f"{qkey} long, {key} {kinds[key]}, distance double, rank int")
+        return vectors.sparkSession.createDataFrame([], f"{qkey} long, {key} {kind}, distance double")
     ids = [r[0] for r in rows]
     held = np.array([r[1] for r in rows], dtype=np.float64)
-    if held.size > MAX_QUESTION_VALUES:
-        raise ValueError(f"{len(ids)} questions are too many for one pass; give them in blocks")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -143,9 +154,7 @@ def dense_topk(vectors: DataFrame, questions: DataFrame, k: int = RAW_K, key: st
                 out_d += far[near].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_k, batch.column(0).type), pa.array(out_d, pa.float64())], names=[qkey, key, "distance"])
 
-    kind = dict(vectors.dtypes)[key]
-    near = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{qkey} long, {key} {kind}, distance double")
-    return top_ranked(near, qkey, key, "distance", k, descending=False)
+    return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{qkey} long, {key} {kind}, distance double")
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:

@@ -40,6 +40,8 @@ def test_dense_ties_go_to_the_lower_id(spark):
     asked = spark.createDataFrame([(7, [1.0, 0.0])], "query_id long, embedding array<float>")
     assert [r["vec_id"] for r in retrieve.dense_topk(vectors, asked, 4).orderBy("rank").collect()] == [0, 1, 2, 3]
     assert retrieve.dense_topk(vectors, asked.where("query_id < 0"), 4).count() == 0
+    many = vectors.where("vec_id < 9").select(F.col("vec_id").alias("query_id"), "embedding")
+    assert retrieve.dense_topk(vectors, many, 4, sent=4).orderBy("query_id", "rank").collect() == retrieve.dense_topk(vectors, many, 4).orderBy("query_id", "rank").collect()
 
 
 def test_quota(spark):
