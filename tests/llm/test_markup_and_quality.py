@@ -16,6 +16,8 @@ from foliomine.llm import text_quality as Q
         ("| **a** | *b* | __c__ | ~~d~~ | `e` | [f](http://x/y) | g[^1] |", {"markdown"}, "| a | b | c | d | e | f | g |"),
         ("| [[x|y]] | {{unit|5|mg}} | ''z'' | [https://a.b w] |", {"wiki"}, "| y | 5 mg | z | w |"),
         ("| $x_{2}^{3}$ | \\SI{4}{\\milli\\gram} | \\emph{q}\\cite{r} | 9\\,mg |", {"latex"}, "| x_2^3 | 4 mg | q | 9 mg |"),
+        ("| [[3]](http://x/y) | ![[3]](i.png) |", {"markdown"}, "| [3] | [3] |"),
+        ("| [[a|[3]]] | [https://a.b/4 [3]] |", {"wiki"}, "| [3] | [3] |"),
         ("{| class=\"wikitable\"\n|-\n| a || b\n|-\n| c || d\n|}", {"wiki"}, "| a | b |\n| c | d |"),
         ("\\begin{tabular}{ll}\na & 5\\% \\\\\n\\end{tabular}", {"latex"}, "| a | 5% |"),
         ("<table><tr><td>a</td><td>b, c</td></tr></table>", {"html"}, "| a | b, c |"),
