@@ -2,7 +2,8 @@
 
 A text is parsed into one tree whatever the mixture of markups: containers, headings, lists, code, formulas, tables.
 The leaves pass points for their length and commas to their ancestors, less with each level and discounted by the
-share of link text; the container with the best score and its siblings are kept, so navigation and page furniture go.
+share of link text.  The container with the best score is always kept; on the way down to it, and inside what is kept,
+page furniture and blocks with more than ``LINK_SHARE`` of link text go.  Plain text is kept however short it is.
 What is kept is rendered to blocks with a kind (``heading``, ``paragraph``, ``item``, ``code``, ``formula``, ``row``),
 and each construct that was undone is reported by its markup.
 
@@ -67,6 +68,8 @@ _RULER = re.compile(r"\s*\|?\s*:?-{2,}:?\s*(?:\|\s*:?-{2,}:?\s*)*\|?\s*")
 
 #: Containers nested deeper than this are one level, so a tree stays walkable whatever the text.
 MAX_DEPTH = 100
+#: A block with a greater share of link text is navigation.
+LINK_SHARE = 0.6
 
 
 class Node:
@@ -414,8 +417,12 @@ def score(root: Node) -> Node:
     return max(best, key=lambda x: x[:2])[2] if best else root
 
 
-def kept(root: Node) -> list[Node]:
-    """The best container with its siblings, up to the root; furniture and blocks of links are left out."""
+def left_out(root: Node) -> set[int]:
+    """Ids of the nodes that go: furniture, and blocks of links at any depth unless they hold the best container.
+
+    The root and each container on the way to the best one have their other children judged by the share of link text;
+    single paragraphs and items are judged only beside the way, so a link that is part of the best container stays.
+    """
     top = score(root)
 
     def path(node: Node) -> list[Node] | None:
@@ -427,21 +434,33 @@ def kept(root: Node) -> list[Node]:
                 return [node, *found]
         return None
 
-    way = path(root) or [root]
-    out = []
-    for child in root.children:
-        size = child.size() or 1
-        if child in way or (child.kind != "furniture" and child.linked() <= 0.6 * size) or child.kind in ("heading", "code", "formula", "row", "table"):
-            out.append(child)
+    way = {id(node) for node in path(root) or [root]}
+    out: set[int] = set()
+
+    def walk(node: Node) -> None:
+        beside = node is root or (id(node) in way and node is not top)
+        for child in node.children:
+            if child.kind == "furniture":
+                out.add(id(child))
+            elif id(child) in way:
+                walk(child)
+            elif child.kind not in ("heading", "code", "formula", "row", "table"):
+                if (beside or child.children) and child.linked() > LINK_SHARE * (child.size() or 1):
+                    out.add(id(child))
+                else:
+                    walk(child)
+
+    walk(root)
     return out
 
 
 def blocks(root: Node) -> list[dict]:
-    """What is kept as blocks in order of reading."""
+    """What is kept as blocks in order of reading; a text that is nothing but links keeps them."""
+    gone = left_out(root)
     out: list[dict] = []
 
     def emit(node: Node) -> None:
-        if node.kind == "furniture":
+        if node.kind == "furniture" or id(node) in gone:
             return
         if node.kind == "row":
             cells = [c.text for c in node.children]
@@ -452,8 +471,10 @@ def blocks(root: Node) -> list[dict]:
             for child in node.children:
                 emit(child)
 
-    for node in kept(root):
-        emit(node)
+    emit(root)
+    if not out:
+        gone = set()
+        emit(root)
     return out
 
 

@@ -42,6 +42,22 @@ def test_the_best_container_is_kept():
     assert "One, two" in text and "Another" in text and "Home" not in text and "Imprint" not in text
 
 
+PROSE_DIV = "<div><p>One, two, three, and a long paragraph of text, with commas.</p><p>More, and more.</p></div>"
+
+
+@pytest.mark.parametrize(
+    "page, clean",
+    [
+        (f"<html><body><div class=menu><a href=x>Home</a> <a href=y>Index</a></div>{PROSE_DIV}</body></html>", "One, two, three, and a long paragraph of text, with commas.\nMore, and more."),
+        ("<html><body><div><div><ul><li><a href=x>Home</a></li></ul></div><div><p>One, two, and a long paragraph.</p><p><a href=z>See figure 3</a></p><ul><li><a href=q>Related</a></li></ul></div><p>Short note</p></div></body></html>", "One, two, and a long paragraph.\nSee figure 3\nShort note"),
+        ("<html><body><p>Intro, text</p><div><a href=x>Home</a></div><p>More, text</p></body></html>", "Intro, text\nMore, text"),
+        ("Table 3 [Outcome of surgery](https://a.b/3)", "Table 3 Outcome of surgery"),
+    ],
+)
+def test_blocks_of_links_go_at_any_depth(page, clean):
+    assert M.rendered(M.blocks(M.Parser(page, False).root)) == clean
+
+
 @pytest.mark.parametrize("part", ["<div>x", "<table><tr><td>y", "\\begin{tabular}\n", "**a ", "_a ", "\\[", "{{a|", "[a](", "<!--"])
 def test_texts_of_any_make_are_read(part):
     assert M.blocks(M.Parser(part * 4_000, True).root) is not None
