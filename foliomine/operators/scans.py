@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from foliomine.session import cut
+
 
 def _windows(doc: str, page: str, order: list[str]):
     rows = Window.partitionBy(doc, page).orderBy(*order)
@@ -51,3 +53,13 @@ def previous(df: DataFrame, doc: str, page: str, order: list[str], value: Column
     per_page = df.groupBy(doc, page).agg(F.max_by(F.struct(F.col("_sc_v").alias("v")), F.struct(*order)).alias("_sc_e"))
     per_page = per_page.select(doc, page, F.lag("_sc_e").over(pages).alias("_sc_before"))
     return _with_pages(df, per_page, doc, page).withColumn(name, F.coalesce("_sc_l", "_sc_before")["v"]).drop("_sc_v", "_sc_l", "_sc_before")
+
+
+def numbered(df: DataFrame, order: list[str], name: str) -> DataFrame:
+    """Add the place of each row from 1 in the order of all rows: ranges are numbered on their own, then shifted."""
+    # the ranges are drawn from a sample, so they are cut: both readings below must see the same ones
+    ranged = cut(df.repartitionByRange(*order).withColumn("_sc_r", F.spark_partition_id()))
+    before = F.coalesce(F.sum("_sc_n").over(Window.orderBy("_sc_r").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranged.groupBy("_sc_r").agg(F.count(F.lit(1)).alias("_sc_n")).select("_sc_r", before.alias("_sc_before"))
+    local = ranged.withColumn("_sc_l", F.row_number().over(Window.partitionBy("_sc_r").orderBy(*order)))
+    return local.join(F.broadcast(ranges), "_sc_r").withColumn(name, F.col("_sc_l") + F.col("_sc_before")).drop("_sc_r", "_sc_l", "_sc_before")

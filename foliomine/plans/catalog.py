@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomine.functions import tables as T
 from foliomine.functions import text as X
-from foliomine.operators import chunking, cite, filters, layout, logs, repair, retrieve, select
+from foliomine.operators import chunking, cite, filters, layout, logs, repair, retrieve, scans, select
 from foliomine.plans import sql as S
 from foliomine.session import table
 from foliomine.sources.pages import page_list
@@ -521,7 +521,7 @@ def page_ranges(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"SELECT id, row_number() OVER (ORDER BY {S.natural('id')}, id) AS place FROM (SELECT DISTINCT doc || '_b' || block_index AS id FROM blocks WHERE doc IS NOT NULL AND block_index IS NOT NULL) QUALIFY place <= 500")
 def natural_order(spark: SparkSession, folder: str) -> DataFrame:
-    """The first 500 ids in natural order: a top-k, so no full sort meets in one task."""
+    """Every id with its place in natural order; no task sorts more than a range of them."""
     ids = table(spark, folder, "blocks").where("doc is not null and block_index is not null").select(F.concat("doc", F.lit("_b"), F.col("block_index").cast("string")).alias("id")).distinct()
-    top = ids.withColumn("o", X.natural_key(F.col("id"))).orderBy("o", "id").limit(500)
-    return top.select("id", F.row_number().over(Window.orderBy("o", "id")).cast("long").alias("place"))
+    placed = scans.numbered(ids.withColumn("o", X.natural_key(F.col("id"))), ["o", "id"], "place")
+    return placed.select("id", F.col("place").cast("long").alias("place"))

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import random
+import re
+
 import pytest
 
 from foliomine.plans import catalog
@@ -22,3 +25,13 @@ def test_entry_point(spark):
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["query_id", "doc_id", "hit_rank", "rrf"]
+
+
+def test_natural_order_numbers_every_id(spark, tmp_path):
+    rows = [(f"doc{d}", i) for d in (1, 2, 10) for i in range(0, 480, 2)] * 2 + [(None, 1), ("doc1", None)]
+    random.Random(7).shuffle(rows)
+    spark.createDataFrame(rows, "doc string, block_index int").repartition(3).write.parquet(str(tmp_path / "blocks.parquet"))
+    ids = {f"{d}_b{i}" for d, i in rows if d is not None and i is not None}
+    wanted = sorted(ids, key=lambda x: [int(t) if t.isdigit() else t for t in re.split(r"(\d+)", x)])
+    got = {r["place"]: r["id"] for r in catalog.QUERIES["natural_order"](spark, str(tmp_path)).collect()}
+    assert got == dict(enumerate(wanted, 1))
