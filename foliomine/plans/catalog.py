@@ -245,10 +245,11 @@ def dense_topk_filtered(spark: SparkSession, folder: str) -> DataFrame:
 
 def _fused(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
     docs, vectors = table(spark, folder, "documents"), table(spark, folder, "embeddings")
-    asked = docs.where("doc_id % 20 = 0").select("doc_id", "title").join(vectors.select("vec_id", "embedding"), F.col("doc_id") == F.col("vec_id"))
-    asked = asked.select(F.col("doc_id").alias("query_id"), F.col("title").alias("query_text"), "embedding")
-    near = retrieve.dense_topk(vectors, asked.select("query_id", "embedding")).withColumnRenamed("vec_id", "doc_id")
-    return docs, retrieve.fuse(near, retrieve.bm25_topk(docs, asked.select("query_id", "query_text")))
+    asked = docs.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), F.col("title").alias("query_text"))
+    # a question without a vector is ranked by its words alone
+    held = asked.select("query_id").join(vectors.select("vec_id", "embedding"), F.col("query_id") == F.col("vec_id")).select("query_id", "embedding")
+    near = retrieve.dense_topk(vectors, held).withColumnRenamed("vec_id", "doc_id")
+    return docs, retrieve.fuse(near, retrieve.bm25_topk(docs, asked))
 
 
 @query(S.HITS + " SELECT query_id, doc_id, dense_rank, sparse_rank, round(rrf, 9) AS rrf FROM fused")
