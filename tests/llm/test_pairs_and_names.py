@@ -125,3 +125,8 @@ def test_frames_and_both_ways_of_sending_terms(spark):
     clean = {(r["row_id"], r["field_name"]): r["text"] for r in D.sanitised(df, ["ear", "dear", "word"]).collect()}
     assert clean[103, "question"] == "Dear [NAME], ok" and clean[101, "question"] == "" and (100, "question") not in clean
     assert D.items_found(df.where("id < 0"), ["ear"]).count() == 0
+
+
+def test_the_field_is_fitted_on_six_thousand_logs(spark):
+    df = spark.range(7_000).select("id", *[F.lit("x").alias(c) for c in ("question", "resolved_question", "answer")])
+    assert len(B.sample(df)) == 6_000 and B.EPOCHS == 6
