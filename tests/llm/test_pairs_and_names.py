@@ -68,6 +68,44 @@ def test_held_out_accuracy():
     assert right >= 0.95 * total
 
 
+REFUSED = ["I could not find this in the archive.", "We do not answer that kind of question.", "That is not covered by the chapters we hold.", "I'm sorry, but no source was found.", "Unfortunately I do not know."]
+
+
+def test_refusals_held_out_by_phrase():
+    """Phrases that stand neither in the lists nor among the logs the field is taught with."""
+    rng = random.Random(5)
+    taught = logs() + [(f"{q} {i}?", None, f"{a} {b}") for i, (q, a, b) in enumerate([(rng.choice("abc"), rng.choice(REFUSED), rng.choice(["Please read another chapter.", "Write to the desk."])) for _ in range(60)])]
+    for held_out in REFUSED:
+        fitted = B.teach([x for x in taught if held_out not in x[2]], WORDS)
+        for after in ("", " Please read another chapter."):
+            assert B.defect("How long is the nose packed?", None, held_out + after, *fitted)[0] == "refusal", held_out
+        assert B.defect("How long is the nose packed?", None, " ".join(EN[:3]), *fitted)[0] is None
+
+
+def test_languages_held_out_by_sentence(fitted):
+    unseen = ["Der Gehörgang wird vor der Untersuchung gereinigt.", "Eine Blutung aus der Nase ist oft die Folge einer Entzündung."]
+    for said in unseen:
+        assert B.defect("When is surgery of the nose indicated?", None, said, *fitted)[0] == "wrong_language"
+        assert B.defect("Wann sollte die Nase operiert werden?", None, said, *fitted)[0] is None
+    assert B.defect("Wann sollte die Nase operiert werden?", None, " ".join(EN[:2]), *fitted)[0] == "wrong_language"
+
+
+def test_corpus_refusals_leave_answers_out():
+    taught = [(f"Why {i}?", None, f"We cannot answer this, sorry. {a}") for i, a in enumerate(["Write to the desk."] * 5 + [EN[0]] * 5)] + [(f"How {i}?", None, EN[0]) for i in range(9)]
+    assert {c[2] for c in B.corpus_refusals(taught)} == {"We cannot answer this, sorry. Write to the desk."}
+
+
+def test_no_phrase_comes_from_the_logs(spark):
+    import os
+
+    folder = "/root/testdata/sf0.01/query_logs.parquet"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    said = "\n".join(r[0].lower() for r in spark.read.parquet(folder).select("answer").where("answer is not null").collect())
+    phrases = [x for o, b, a in B.PHRASES.values() for x in (b + "|" + a).split("|")] + list(B.MODEST)
+    assert [x for x in phrases if x.lower() in said] == []
+
+
 def test_pairs_on_frames(spark):
     rows = [(i, q, r, a, "x") for i, (q, r, a) in enumerate(logs())] + [(900, None, None, None, None), (901, "", "", "word " * 30_000, None), (901, "", "", "word " * 30_000, None)]
     df = spark.createDataFrame(rows, "id long, question string, resolved_question string, answer string, defect string")
