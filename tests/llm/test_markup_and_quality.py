@@ -58,7 +58,33 @@ def test_blocks_of_links_go_at_any_depth(page, clean):
     assert M.rendered(M.blocks(M.Parser(page, False).root)) == clean
 
 
-@pytest.mark.parametrize("part", ["<div>x", "<table><tr><td>y", "\\begin{tabular}\n", "**a ", "_a ", "\\[", "{{a|", "[a](", "<!--"])
+def test_scoring_decides_what_stands_beside_the_best_container(monkeypatch):
+    """Without the scores the scraps stay; with them they go, and lists and sentences stay."""
+    page = "<html><body><div><p>Share</p><p>**Print**</p></div>" + PROSE_DIV + "<div><ul><li>first choice</li></ul></div><div><p>A sentence beside it.</p></div></body></html>"
+    tree = lambda: M.Parser(page, False).root
+    scored = M.rendered(M.blocks(tree()))
+    assert "Share" not in scored and "first choice" in scored and "A sentence beside it." in scored and "One, two" in scored
+    assert M.markups(tree()) == {"html"}
+    monkeypatch.setattr(M, "SIBLING_SHARE", 0.0)
+    assert "Share" in M.rendered(M.blocks(tree())) and M.markups(tree()) == {"html", "markdown"}
+
+
+@pytest.mark.parametrize("size", [10, 5_000])
+def test_spans_of_any_length(size):
+    body = "x y " * size + "z"
+    for text, kind in ((f"a *{body}* b", "markdown"), (f"a __{body}__ b", "markdown"), (f"a \\[ {body}^2 \\] b", "latex"), (f"a ${body}_2$ b", "latex"), (f"$${body}$$", "latex")):
+        parser = M.Parser(text, True)
+        assert parser.kinds == {kind}
+        assert "*" not in M.rendered(M.blocks(parser.root)) and "$" not in M.rendered(M.blocks(parser.root))
+
+
+def test_signs_that_are_data_stay():
+    for text in ("*masked, 0.5 or 0.01", "cost $ 40 and $ 50", "gain_max and loss_max", "$5 and $6", "2 * 3 * 4", "\\[ open"):
+        assert not M.Parser(text, True).kinds - {"latex"} and (text[0] == "\\" or not M.Parser(text, True).kinds)
+    assert M.rendered(M.blocks(M.Parser("*0.004*** and ***b***", True).root)) == "0.004** and b"
+
+
+@pytest.mark.parametrize("part", ["<div>x", "<table><tr><td>y", "\\begin{tabular}\n", "**a ", "_a ", "\\[", "{{a|", "[a](", "<!--", "$", "$a_", "\\(", "*a", "_a*"])
 def test_texts_of_any_make_are_read(part):
     assert M.blocks(M.Parser(part * 4_000, True).root) is not None
 
