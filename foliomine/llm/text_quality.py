@@ -1,11 +1,11 @@
 """Problem 4: statistics of each text and a verdict whether it is prose, a list, a table or junk.
 
-Everything is a column expression: one scan, no shuffle, no Python.  Two layers of fixed thresholds:
-
-* per text, the published web-text rules (mean word length 3 to 10, symbol ratio at most 0.1, at least 80 % of the
-  words with a letter, bullets on at most 90 % and ellipses on at most 30 % of the lines, at least two common words),
-  each failure recorded by name in ``reasons``;
-* per line, a type from the same statistics taken over the line.  The type that holds most characters is the verdict.
+Everything is a column expression: one scan, no shuffle, no Python.  The statistics are taken first: those of the
+published web-text rules (mean word length, symbols and letters per word, common words, bullets, ellipses, ends of
+lines), and the shares of the characters that stand in lines of items and entries, in lines of columns, in lines of
+garbage, in running headers and page numbers, and (in tables) in rows of running sentences.  Fixed thresholds turn them
+into ``reasons``, one name for each rule that fails, and ``text_class`` is read from the reasons alone (``VERDICTS``):
+a structural reason says what the text looks like, the published rules say whether it is natural prose.
 
 Null and blank texts get zero statistics, no reasons and the class ``none``.
 """
@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 
 from foliomine.llm.frames import JAVA_INVISIBLE, JAVA_SPACES
 
-#: Common words by which prose is known, of the languages of the corpus.
+#: Common words by which prose is known, of the languages of the corpus; single Latin letters tell nothing.
 COMMON = (
-    "the be to of and that have with is in a for was by are as or from may not "
-    "der die das und ist nicht mit von bei le la les des et est une dans pour "
-    "el los las que y es con por o os da do em não um uma para "
-    "w z na się jest nie do i в и на не с что по при"
+    "the be to of and that have with is in for was by are as or from may not "
+    "der die das und ist nicht mit von bei le la les des et est une dans pour pas "
+    "el los las que es con por os da do em não um uma para "
+    "na się jest nie и в на с не что по при"
 )
 WORD_LENGTH = (3.0, 10.0)
 SYMBOL_RATIO = 0.1
@@ -30,6 +30,26 @@ ALPHA_WORDS = 0.8
 BULLET_LINES = 0.9
 ELLIPSIS_LINES = 0.3
 LEAST_COMMON = 2
+#: The greater part of a text.
+MAJORITY = 0.5
+#: Texts of fewer words are too short for the published rules alone to call them junk.
+LEAST_WORDS = 12
+
+#: By what is promised: a class, the reasons that must all be there, and those of which none may be; the first that holds.
+VERDICTS = {
+    "prose": (
+        ("list", ("list_lines",), ()),
+        ("table", ("columns", "few_common_words", "few_alpha_words"), ()),
+        ("junk", ("furniture",), ()),
+        *(("junk", ("garbage", failed), ()) for failed in ("few_common_words", "few_alpha_words", "symbols", "short_words", "long_words")),
+        ("junk", ("not_short", "few_common_words", "few_alpha_words"), ("columns",)),
+    ),
+    "table": (
+        ("prose", ("sentences",), ("few_common_words", "few_alpha_words", "short_words", "long_words")),
+        ("list", ("list_lines",), ()),
+        ("junk", ("garbage", "few_common_words", "few_alpha_words"), ()),
+    ),
+}
 
 GLYPH = r"\(cid:[0-9]+\)|/g[0-9]+\b"
 BULLET = r"^\s*(?:[-*+•‣▪●·–]|\(?[0-9]{1,3}[.)]|\(?[a-z][.)])\s+\S"
@@ -49,7 +69,7 @@ RUNNING = (
 
 
 #: The columns that are added.
-RESULTS = ("n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "alpha_share", "common_share", "stop_line_share", "bullet_line_share", "ellipsis_line_share", "reasons", "text_class")
+RESULTS = ("n_chars", "n_words", "n_lines", "mean_word_length", "symbol_ratio", "alpha_share", "common_share", "stop_line_share", "bullet_line_share", "ellipsis_line_share", "list_share", "column_share", "garbage_share", "furniture_share", "sentence_share", "reasons", "text_class")
 
 
 def _count(text: Column, pattern: str) -> Column:
@@ -103,8 +123,8 @@ def quality(df: DataFrame, text: str, promised: str) -> DataFrame:
     """Add the statistics, ``reasons`` and ``text_class`` of a text column.
 
     ``promised`` is what the table should hold: ``prose`` takes lines as they are, ``table`` as rows of a pipe table.
-    Extra columns pass through; one that has the name of a result is replaced by it.  Ties between types fall to the
-    promised one, then list, table, junk.
+    Extra columns pass through; one that has the name of a result is replaced by it.  A text without a verdict of
+    ``VERDICTS`` is what was promised.
     """
     own = [c for c in df.columns if c not in RESULTS]
     df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_body"))
@@ -113,8 +133,12 @@ def quality(df: DataFrame, text: str, promised: str) -> DataFrame:
     df = df.withColumn("_lines", F.split(_plain(body), "\n"))
     df = df.withColumn("_typed", F.transform("_lines", lambda x: F.struct(kind(x).alias("k"), F.length(F.trim(x)).alias("n"))))
     size = lambda k: F.aggregate("_typed", F.lit(0), lambda a, x: a + F.when(x["k"] == k, x["n"]).otherwise(0))
-    for k in ("prose", "list", "table", "junk", "page"):
-        df = df.withColumn(f"_{k}", size(k))
+    df = df.withColumns({f"_{k}": size(k) for k in ("prose", "list", "table", "junk", "page")})
+    # one row of columns alone is a site line; a table has at least two
+    rows = F.size(F.filter("_typed", lambda x: x["k"] == "table"))
+    columns = F.when(rows < 2, 0).otherwise(F.col("_table")) if promised == "prose" else F.lit(0)
+    # headers and page numbers are no part of a text that has another
+    df = df.withColumns({"_columns": columns, "_body_size": F.col("_prose") + F.col("_list") + F.col("_table") + F.col("_junk"), "_zero": F.lit(0)})
     words = _count(body, r"\S+")
     common = _count(F.lower(body), r"(?<!\p{L})(?:" + "|".join(COMMON.split()) + r")(?!\p{L})")
     lines = F.size(F.filter("_typed", lambda x: x["k"] != "blank"))
@@ -142,6 +166,11 @@ def quality(df: DataFrame, text: str, promised: str) -> DataFrame:
             "stop_line_share": part("_stops", "n_lines"),
             "bullet_line_share": part("_bullets", "n_lines"),
             "ellipsis_line_share": part("_ellipses", "n_lines"),
+            "list_share": part("_list", "_body_size"),
+            "column_share": part("_columns", "_body_size"),
+            "garbage_share": part("_junk", "_body_size"),
+            "furniture_share": F.round(F.when(F.col("_page") > 0, F.col("_page") / (F.col("_page") + F.col("_body_size"))).otherwise(0.0), 4),
+            "sentence_share": part("_prose" if promised == "table" else "_zero", "_body_size"),
         }
     )
     blank = F.col("n_words") == 0
@@ -153,22 +182,21 @@ def quality(df: DataFrame, text: str, promised: str) -> DataFrame:
         "bullets": F.col("bullet_line_share") > BULLET_LINES,
         "ellipses": F.col("ellipsis_line_share") > ELLIPSIS_LINES,
         "few_common_words": F.col("_common") < LEAST_COMMON,
+        "list_lines": F.col("list_share") >= MAJORITY,
+        "columns": F.col("column_share") >= MAJORITY,
+        "garbage": F.col("garbage_share") >= MAJORITY,
+        "furniture": F.col("furniture_share") == 1.0,
+        "sentences": F.col("sentence_share") >= MAJORITY,
     }
     df = df.withColumn("reasons", F.when(blank, F.array().cast("array<string>")).otherwise(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())))
-    if promised == "prose":
-        # one row of columns alone is a site line; a table has at least two
-        rows = F.size(F.filter("_typed", lambda x: x["k"] == "table"))
-        df = df.withColumns({"_prose": F.when(rows < 2, F.col("_prose") + F.col("_table")).otherwise(F.col("_prose")), "_table": F.when(rows < 2, 0).otherwise(F.col("_table"))})
-        # a block of nothing but headers and page numbers promises text and holds none
-        df = df.withColumn("_junk", F.col("_junk") + F.when((F.col("_prose") + F.col("_list") + F.col("_table")) == 0, F.col("_page")).otherwise(0))
-    other = "table" if promised == "prose" else "prose"
-    best = F.greatest("_prose", "_list", "_table", "_junk")
-    df = df.withColumn(
-        "text_class",
-        F.when(blank | (best == 0), "none")
-        .when(F.col(f"_{promised}") == best, promised)
-        .when(F.col("_list") == best, "list")
-        .when(F.col(f"_{other}") == best, other)
-        .otherwise("junk"),
-    )
+    holds = {k: F.array_contains("reasons", k) for k in checks} | {"not_short": F.col("n_words") >= LEAST_WORDS}
+    verdict = F.when(blank, "none")
+    for name, there, absent in VERDICTS[promised]:
+        condition = holds[there[0]]
+        for k in there[1:]:
+            condition = condition & holds[k]
+        for k in absent:
+            condition = condition & ~holds[k]
+        verdict = verdict.when(condition, name)
+    df = df.withColumn("text_class", verdict.otherwise(promised))
     return df.select(*[F.col("_own")[c].alias(c) for c in own], *RESULTS)

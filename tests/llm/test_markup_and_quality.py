@@ -150,3 +150,24 @@ def test_statistics_reasons_and_names(spark):
     assert r["bullet_line_share"] == 0.6667 and r["ellipsis_line_share"] == 0.3333
     assert set(r["reasons"]) == {"short_words", "few_common_words", "few_alpha_words", "ellipses"} or "few_common_words" in r["reasons"]
     assert Q.quality(df.where("k < 0"), "t", "prose").count() == 0
+
+
+def test_the_class_is_read_from_the_reasons(spark, monkeypatch):
+    """Each reason a verdict rests on is recorded; without the thresholds nothing but the promise is left."""
+    cases = ["1. First thing\n2. Second thing\n3. Third thing", "Drug\tDose\tDays\nx\t1\t2\ny\t3\t4", "(cid:12)(cid:7) (cid:9)(cid:10)(cid:11)", "– 365 –", "x9 4z 7q 8w 5r 3t 2y 6u 1p 9a 8s 7d f5 g4", PROSE]
+    df = spark.createDataFrame(list(enumerate(cases)), "k int, t string")
+    rows = {r["k"]: r for r in Q.quality(df, "t", "prose").collect()}
+    for r in rows.values():
+        said = set(r["reasons"]) | ({"not_short"} if r["n_words"] >= Q.LEAST_WORDS else set())
+        first = next((name for name, there, absent in Q.VERDICTS["prose"] if set(there) <= said and not set(absent) & said), "prose")
+        assert r["text_class"] == first
+    assert [rows[k]["text_class"] for k in range(6)] == ["list", "table", "junk", "junk", "junk", "prose"]
+    assert rows[0]["list_share"] == 1.0 and rows[1]["column_share"] == 1.0 and rows[3]["furniture_share"] == 1.0
+    monkeypatch.setattr(Q, "MAJORITY", 2.0)
+    monkeypatch.setattr(Q, "LEAST_COMMON", -1)
+    assert {r["text_class"] for r in Q.quality(df, "t", "prose").where("k in (0, 1, 2, 4)").collect()} == {"prose"}
+
+
+def test_the_greater_part_decides(spark):
+    assert classes(spark, ["1. " + "word " * 30 + "\nsome words"], "prose") == ["list"]
+    assert classes(spark, ["1. word\n" + "some words " * 30], "prose") == ["prose"]
