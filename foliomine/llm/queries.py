@@ -75,12 +75,11 @@ def p4_quality(spark: SparkSession, folder: str) -> DataFrame:
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records that aren't what their table promises; headings aren't cases."""
     from foliomine.llm.frames import keep
-    from foliomine.llm.text_quality import quality
+    from foliomine.llm.text_quality import text_classes
 
     blocks = table(spark, folder, "blocks").where(~F.coalesce("is_heading", F.lit(False))).select(F.lit("blocks").alias("rec_table"), F.col("block_id").alias("rec_id"), "text")
     tables = table(spark, folder, "tables").select(F.lit("tables").alias("rec_table"), F.col("table_id").alias("rec_id"), F.col("markdown").alias("text"))
-    columns = ["rec_table", "rec_id", "text_class"]
-    bad = lambda df, promised: keep(quality(df, "text", promised).select(columns), ~F.col("text_class").isin(promised, "none"))
+    bad = lambda df, promised: keep(text_classes(df, "text", promised, "rec_table", "rec_id"), ~F.col("text_class").isin(promised, "none"))
     return bad(blocks, "prose").unionByName(bad(tables, "table")).distinct()
 
 

@@ -12,6 +12,8 @@ Null and blank texts get zero statistics, no reasons and the class ``none``.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +26,7 @@ COMMON = (
     "el los las que es con por os da do em não um uma para "
     "na się jest nie и в на с не что по при"
 )
+COMMON_WORD = r"(?<!\p{L})(?:" + "|".join(COMMON.split()) + r")(?!\p{L})"
 WORD_LENGTH = (3.0, 10.0)
 SYMBOL_RATIO = 0.1
 ALPHA_WORDS = 0.8
@@ -107,6 +110,11 @@ def _block_line(line: Column) -> Column:
     )
 
 
+def _sentence(cell: Column) -> Column:
+    """Eight words in a row at least, and an end of a sentence at the end of the cell."""
+    return cell.rlike(r"[\p{L}\p{N}’'–-][.!?]\s*$") & cell.rlike(r"(?<![\p{L}\p{N}’'–-])(?:[\p{L}\p{N}’'–-]++[,;:]?\s++){8}")
+
+
 def _table_line(line: Column) -> Column:
     bare = F.regexp_replace(line, GLYPH, "")
     return (
@@ -114,23 +122,16 @@ def _table_line(line: Column) -> Column:
         .when(line.rlike(CONTENTS) | line.rlike(r"\p{L},\s*[0-9]{1,4},\s*[0-9]{1,4}\s*[-–]\s*[0-9]{1,4}\s*(?:\||$)"), "list")
         .when(~bare.rlike(r"[\p{L}\p{N}]"), "junk")
         .when(line.rlike(PAGE_NO), "page")
-        .when(line.rlike(r"(?:[\p{L}\p{N}’'–-]+[,;:]?\s+){8}[^|]*[\p{L}\p{N}’'–-]+[.!?]\s*(?:\||$)|[\p{L})]\.\s+\p{Lu}\p{Ll}*\s+\p{Ll}"), "prose")
+        .when(line.rlike(r"[\p{L})]\.\s+\p{Lu}\p{Ll}*\s+\p{Ll}") | (line.rlike(r"[\p{L}\p{N}’'–-][.!?]\s*(?:\||$)") & F.exists(F.split(line, r"\|"), _sentence)), "prose")
         .otherwise("table")
     )
 
 
-def quality(df: DataFrame, text: str, promised: str) -> DataFrame:
-    """Add the statistics, ``reasons`` and ``text_class`` of a text column.
-
-    ``promised`` is what the table should hold: ``prose`` takes lines as they are, ``table`` as rows of a pipe table.
-    Extra columns pass through; one that has the name of a result is replaced by it.  A text without a verdict of
-    ``VERDICTS`` is what was promised.
-    """
-    own = [c for c in df.columns if c not in RESULTS]
-    df = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_body"))
-    body = F.col("_body")
+def _prepared(df: DataFrame, text: str, promised: str, own: Column) -> DataFrame:
+    """``_own``, the body, its lines with their types, and the characters that stand in lines of each type."""
+    df = df.select(own.alias("_own"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("_body"))
     kind = _block_line if promised == "prose" else _table_line
-    df = df.withColumn("_lines", F.split(_plain(body), "\n"))
+    df = df.withColumn("_lines", F.split(_plain(F.col("_body")), "\n"))
     df = df.withColumn("_typed", F.transform("_lines", lambda x: F.struct(kind(x).alias("k"), F.length(F.trim(x)).alias("n"))))
     size = lambda k: F.aggregate("_typed", F.lit(0), lambda a, x: a + F.when(x["k"] == k, x["n"]).otherwise(0))
     df = df.withColumns({f"_{k}": size(k) for k in ("prose", "list", "table", "junk", "page")})
@@ -138,65 +139,88 @@ def quality(df: DataFrame, text: str, promised: str) -> DataFrame:
     rows = F.size(F.filter("_typed", lambda x: x["k"] == "table"))
     columns = F.when(rows < 2, 0).otherwise(F.col("_table")) if promised == "prose" else F.lit(0)
     # headers and page numbers are no part of a text that has another
-    df = df.withColumns({"_columns": columns, "_body_size": F.col("_prose") + F.col("_list") + F.col("_table") + F.col("_junk"), "_zero": F.lit(0)})
+    return df.withColumns({"_columns": columns, "_size": F.col("_prose") + F.col("_list") + F.col("_table") + F.col("_junk")})
+
+
+def _statistics(promised: str) -> dict[str, Column]:
+    """The statistics by name, over the columns of ``_prepared``."""
+    body = F.col("_body")
     words = _count(body, r"\S+")
-    common = _count(F.lower(body), r"(?<!\p{L})(?:" + "|".join(COMMON.split()) + r")(?!\p{L})")
     lines = F.size(F.filter("_typed", lambda x: x["k"] != "blank"))
-    df = df.withColumns(
-        {
-            "n_chars": F.length(body),
-            "n_words": words,
-            "n_lines": lines,
-            "_solid": F.length(body) - _count(body, r"\s"),
-            "_symbols": _count(body, r"[^\p{L}\p{N}\p{M}\s.,;:!?()'\"’“”‘\-–—%/]"),
-            "_alpha": _count(body, r"\S*\p{L}\S*"),
-            "_common": common,
-            "_stops": F.size(F.filter("_lines", lambda x: x.rlike(r"[.!?][)\]\"”’*]*\s*$"))),
-            "_bullets": F.size(F.filter("_lines", lambda x: x.rlike(BULLET))),
-            "_ellipses": F.size(F.filter("_lines", lambda x: x.rlike(r"(?:\.\.\.|…)\s*$"))),
-        }
-    )
-    part = lambda a, b: F.round(F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0), 4)
-    df = df.withColumns(
-        {
-            "mean_word_length": part("_solid", "n_words"),
-            "symbol_ratio": part("_symbols", "n_words"),
-            "alpha_share": part("_alpha", "n_words"),
-            "common_share": part("_common", "n_words"),
-            "stop_line_share": part("_stops", "n_lines"),
-            "bullet_line_share": part("_bullets", "n_lines"),
-            "ellipsis_line_share": part("_ellipses", "n_lines"),
-            "list_share": part("_list", "_body_size"),
-            "column_share": part("_columns", "_body_size"),
-            "garbage_share": part("_junk", "_body_size"),
-            "furniture_share": F.round(F.when(F.col("_page") > 0, F.col("_page") / (F.col("_page") + F.col("_body_size"))).otherwise(0.0), 4),
-            "sentence_share": part("_prose" if promised == "table" else "_zero", "_body_size"),
-        }
-    )
-    blank = F.col("n_words") == 0
-    checks = {
-        "short_words": F.col("mean_word_length") < WORD_LENGTH[0],
-        "long_words": F.col("mean_word_length") > WORD_LENGTH[1],
-        "symbols": F.col("symbol_ratio") > SYMBOL_RATIO,
-        "few_alpha_words": F.col("alpha_share") < ALPHA_WORDS,
-        "bullets": F.col("bullet_line_share") > BULLET_LINES,
-        "ellipses": F.col("ellipsis_line_share") > ELLIPSIS_LINES,
-        "few_common_words": F.col("_common") < LEAST_COMMON,
-        "list_lines": F.col("list_share") >= MAJORITY,
-        "columns": F.col("column_share") >= MAJORITY,
-        "garbage": F.col("garbage_share") >= MAJORITY,
-        "furniture": F.col("furniture_share") == 1.0,
-        "sentences": F.col("sentence_share") >= MAJORITY,
+    part = lambda a, b: F.round(F.when(b > 0, a / b).otherwise(0.0), 4)
+    matching = lambda pattern: F.size(F.filter("_lines", lambda x: x.rlike(pattern)))
+    size, page = F.col("_size"), F.col("_page")
+    return {
+        "n_chars": F.length(body),
+        "n_words": words,
+        "n_lines": lines,
+        "mean_word_length": part(F.length(body) - _count(body, r"\s"), words),
+        "symbol_ratio": part(_count(body, r"[^\p{L}\p{N}\p{M}\s.,;:!?()'\"’“”‘\-–—%/]"), words),
+        "alpha_share": part(_count(body, r"(?<!\S)[^\s\p{L}]*+\p{L}"), words),
+        "common_share": part(_count(F.lower(body), COMMON_WORD), words),
+        "stop_line_share": part(matching(r"[.!?][)\]\"”’*]*\s*$"), lines),
+        "bullet_line_share": part(matching(BULLET), lines),
+        "ellipsis_line_share": part(matching(r"(?:\.\.\.|…)\s*$"), lines),
+        "list_share": part(F.col("_list"), size),
+        "column_share": part(F.col("_columns"), size),
+        "garbage_share": part(F.col("_junk"), size),
+        "furniture_share": part(page, page + size),
+        "sentence_share": part(F.col("_prose"), size) if promised == "table" else F.lit(0.0),
     }
-    df = df.withColumn("reasons", F.when(blank, F.array().cast("array<string>")).otherwise(F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in checks.items()]), lambda x: x.isNotNull())))
-    holds = {k: F.array_contains("reasons", k) for k in checks} | {"not_short": F.col("n_words") >= LEAST_WORDS}
-    verdict = F.when(blank, "none")
+
+
+def _failures(of: Callable[[str], Column]) -> dict[str, Column]:
+    """The rules by name, over statistics: true where a rule fails."""
+    return {
+        "short_words": of("mean_word_length") < WORD_LENGTH[0],
+        "long_words": of("mean_word_length") > WORD_LENGTH[1],
+        "symbols": of("symbol_ratio") > SYMBOL_RATIO,
+        "few_alpha_words": of("alpha_share") < ALPHA_WORDS,
+        "bullets": of("bullet_line_share") > BULLET_LINES,
+        "ellipses": of("ellipsis_line_share") > ELLIPSIS_LINES,
+        # fewer than LEAST_COMMON; the second one ends the search
+        "few_common_words": ~F.lower("_body").rlike("(?s)" + ".*?".join([COMMON_WORD] * LEAST_COMMON)),
+        "list_lines": of("list_share") >= MAJORITY,
+        "columns": of("column_share") >= MAJORITY,
+        "garbage": of("garbage_share") >= MAJORITY,
+        "furniture": of("furniture_share") == 1.0,
+        "sentences": of("sentence_share") >= MAJORITY,
+    }
+
+
+def _verdict(failed: dict[str, Column], promised: str) -> Column:
+    """The class by ``VERDICTS``."""
+    failed = failed | {"not_short": F.col("_body").rlike(r"(?:\S++\s++){%d}\S" % (LEAST_WORDS - 1))}
+    out = F.when(~F.col("_body").rlike(r"\S"), "none")
     for name, there, absent in VERDICTS[promised]:
-        condition = holds[there[0]]
+        condition = failed[there[0]]
         for k in there[1:]:
-            condition = condition & holds[k]
+            condition = condition & failed[k]
         for k in absent:
-            condition = condition & ~holds[k]
-        verdict = verdict.when(condition, name)
-    df = df.withColumn("text_class", verdict.otherwise(promised))
-    return df.select(*[F.col("_own")[c].alias(c) for c in own], *RESULTS)
+            condition = condition & ~failed[k]
+        out = out.when(condition, name)
+    return out.otherwise(promised)
+
+
+def text_classes(df: DataFrame, text: str, promised: str, *own: str) -> DataFrame:
+    """The named columns and ``text_class`` alone: the same verdict, with a statistic computed only where a rule asks for it."""
+    ready = _prepared(df, text, promised, F.struct(*[F.col(f"`{c}`") for c in own]))
+    statistics = _statistics(promised)
+    return ready.select(*[F.col("_own")[c].alias(c) for c in own], _verdict(_failures(statistics.__getitem__), promised).alias("text_class"))
+
+
+def quality(df: DataFrame, text: str, promised: str) -> DataFrame:
+    """Add the statistics, ``reasons`` and ``text_class`` of a text column.
+
+    ``promised`` is what the table should hold: ``prose`` takes lines as they are, ``table`` as rows of a pipe table.
+    Extra columns pass through; one that has the name of a result is replaced by it.  A text without a verdict of
+    ``VERDICTS`` is what was promised.
+    """
+    own = [c for c in df.columns if c not in RESULTS]
+    ready = _prepared(df, text, promised, F.struct(*[F.col(f"`{c}`") for c in df.columns]))
+    ready = ready.withColumns(_statistics(promised))
+    failed = _failures(F.col)
+    reasons = F.filter(F.array(*[F.when(c, F.lit(k)) for k, c in failed.items()]), lambda x: x.isNotNull())
+    ready = ready.withColumn("reasons", F.when(F.col("n_words") == 0, F.array().cast("array<string>")).otherwise(reasons))
+    ready = ready.withColumn("text_class", _verdict({k: F.array_contains("reasons", k) for k in failed}, promised))
+    return ready.select(*[F.col("_own")[c].alias(c) for c in own], *RESULTS)

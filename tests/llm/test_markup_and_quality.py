@@ -164,7 +164,8 @@ def test_the_class_is_read_from_the_reasons(spark, monkeypatch):
     assert [rows[k]["text_class"] for k in range(6)] == ["list", "table", "junk", "junk", "junk", "prose"]
     assert rows[0]["list_share"] == 1.0 and rows[1]["column_share"] == 1.0 and rows[3]["furniture_share"] == 1.0
     monkeypatch.setattr(Q, "MAJORITY", 2.0)
-    monkeypatch.setattr(Q, "LEAST_COMMON", -1)
+    assert [r["text_class"] for r in Q.text_classes(df, "t", "prose", "k").orderBy("k").collect()] == [rows[k]["text_class"] for k in range(6)]
+    monkeypatch.setattr(Q, "COMMON_WORD", "")
     assert {r["text_class"] for r in Q.quality(df, "t", "prose").where("k in (0, 1, 2, 4)").collect()} == {"prose"}
 
 
