@@ -66,6 +66,19 @@ def test_a_line_of_every_site_is_one_of_each(spark):
     assert {r["line_no"] for r in S.marked_lines(one, "doc", "text", "block_id").collect()} >= {1}
 
 
+def test_the_test_rejects_chance_repeats_and_decides_without_floors(spark):
+    """A line twice among thousands of rows is no more than chance over all pairs; lifting the level lets it through."""
+    pool = [f"common {a}{b} line" for a in "abcdefghijklmnopqrst" for b in "abcdefghijklmnopqrstuvwxyz"]
+    rng = random.Random(8)
+    rows = [(i, f"d{i % 3}", rng.choice(pool) + ("\nFrom the site of one" if i % 3 == 0 and i % 9 == 0 else ""), None, None, None) for i in range(1500)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    strict = S.excess_lines(df, "doc", "text", "block_id")
+    assert strict.count() < S.excess_lines(df, "doc", "text", "block_id", fdr=1.0).count() / 3
+    assert strict.where("share > 0.1").select("source").collect()[0][0] == "d0"
+    marked = lambda **p: {(r[0], r[1]) for r in S.marked_lines(df, "doc", "text", "block_id", min_rows=2, min_share=0.0, **p).collect()}
+    assert {(i, 2) for i in range(0, 1500, 9)} <= marked() < marked(fdr=1.0)
+
+
 def test_site_lines_of_nothing(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert S.marked_lines(df, "doc", "text", "block_id").count() == 0
