@@ -1,11 +1,18 @@
 """Problem 2: personal information in free text, replaced by typed placeholders.
 
-Information-theoretic sanitisation.  The corpus says how strongly a term reveals a person: the disclosure of a term, in
-bits, is how much likelier the term is among the words of the registered names than in the running text of
-the answers; that of a context is the share of the words it introduces that reveal a person.  A term is
-removed when its disclosure exceeds ``TERM_BITS``, or when it is no listed word and stands beside such a term or in a
-context above ``CONTEXT_SHARE``.  Items with a form of their own (e-mail, telephone, identity numbers, addresses) reveal
-a person by the form together with its label, and are taken first, so a name inside an address is no item.
+Information-theoretic sanitisation.  The corpus says how strongly a term reveals a protected entity (a registered person,
+or whoever a number, an address or a mailbox belongs to), in bits over what would be expected of running text:
+
+* a word, by how much likelier it stands in the names of the registered people than in the answers;
+* a context, by the share of the words it introduces that reveal a person;
+* a form (the digits and signs of a number, a mailbox, a street), by how much likelier it stands in what users write
+  than in the answers, which speak of no one.
+
+A word is removed when its disclosure exceeds ``TERM_BITS``, or when it is no listed word and stands beside such a word or
+in a context above ``CONTEXT_SHARE``.  What has the form of a mail or street address, telephone or identity number is
+removed when the disclosure of its form exceeds ``FORM_BITS``; a form that is as common in the answers stays.  Forms
+are taken first, so a name inside an address is no item.  Items below the threshold are left as they are, since the
+result is to differ in nothing but the items; nothing is generalised to a broader term.
 
 Counts are taken over all rows, of distinct names, so a busy user doesn't weigh more.  The revealing terms are sent to
 the tasks if there are at most ``MAX_SENT`` of them, else they are joined to the words of each row.  Null
@@ -16,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from math import log2
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +31,11 @@ from pyspark.sql import functions as F
 from foliomine.llm.frames import arrow_map
 
 TERM_BITS = 5.0
+FORM_BITS = 1.0
 CONTEXT_SHARE = 0.6
 CONTEXT_LEAST = 5
+#: A form counts as common in the answers if it stands in this share of them; at most one in so many are sent.
+FORM_RATE = 1e-5
 #: A context is counted if it makes up this share of all; at most one in so many are sent.
 CONTEXT_RATE = 1e-5
 MAX_SENT = 300_000
@@ -104,22 +115,34 @@ def numbers(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int, str
     return out
 
 
+def forms(text: str) -> list[tuple[int, int, str]]:
+    """What has the form of an item, whatever it reveals."""
+    out = [(*m.span(), "email") for m in EMAIL.finditer(text)]
+    for m in ADDRESS.finditer(text):
+        if all(m.end() <= a or b <= m.start() for a, b, _ in out):
+            out.append((*m.span(), "address"))
+    return out + numbers(text, [(a, b) for a, b, _ in out])
+
+
+def form_of(item: str, kind: str) -> str:
+    """The form of an item: its type, and for numbers the lengths of its groups and the signs between them."""
+    if kind in ("email", "address"):
+        return kind
+    return kind + ":" + re.sub(r"\d+", lambda m: str(len(m.group(0))), re.sub(r"[^\W\d_]+", "A", item))
+
+
 class Finder:
-    """Finds the items of a text, given the revealing terms, the revealing contexts and the listed words."""
+    """Finds the items of a text, given the revealing terms and contexts, the listed words and the forms that reveal no one."""
 
-    def __init__(self, terms, contexts: set[str], listed: set[str]) -> None:
-        self.terms, self.contexts, self.listed = terms, contexts, listed
+    def __init__(self, terms, contexts: set[str], listed: set[str], harmless: set[str] | frozenset[str] = frozenset()) -> None:
+        self.terms, self.contexts, self.listed, self.harmless = terms, contexts, listed, harmless
 
     def items(self, text: str | None, terms=None) -> list[tuple[int, int, str]]:
         """(start, end, type) of each item, in order."""
         if not text:
             return []
         reveals = self.terms if terms is None else terms
-        out = [(*m.span(), "email") for m in EMAIL.finditer(text)]
-        for m in ADDRESS.finditer(text):
-            if all(m.end() <= a or b <= m.start() for a, b, _ in out):
-                out.append((*m.span(), "address"))
-        out += numbers(text, [(a, b) for a, b, _ in out])
+        out = [x for x in forms(text) if form_of(text[x[0] : x[1]], x[2]) not in self.harmless]
         out += self.names(text, [(a, b) for a, b, _ in out], reveals)
         return sorted(out)
 
@@ -209,9 +232,13 @@ def registered(logs: DataFrame, name: str = "user_name", answer: str = "answer")
     names = logs.select(F.lower(name).alias("name")).where(F.col("name").isNotNull()).distinct()
     words = lambda c: F.regexp_extract_all(F.lower(c), F.lit(r"(\p{L}{2,})"), F.lit(1))
     in_names = names.select(F.explode(F.array_distinct(words(F.col("name")))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("named"))
-    # names may be repeated where an answer repeats the question, so the text without them is taken
-    told = logs.where(F.col(answer).isNotNull() & ~F.coalesce(F.contains(F.lower(answer), F.lower(F.substring("question", 1, 30))), F.lit(False)))
-    in_text = told.select(F.explode(words(F.col(answer))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("told"))
+    # what an answer repeats of its own question is the user's text, not running text
+    text = F.lower(answer)
+    for asked in ("question", "resolved_question"):
+        if asked in logs.columns:
+            text = F.replace(text, F.coalesce(F.nullif(F.lower(asked), F.lit("")), F.lit("\n\n")), F.lit(" "))
+    told = logs.where(F.col(answer).isNotNull()).select(text.alias("_told"))
+    in_text = told.select(F.explode(words(F.col("_told"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("told"))
     sums = names.agg(F.count(F.lit(1))).first()[0], in_text.agg(F.sum("told")).first()[0] or 0
     both = in_names.join(in_text, "word", "left").withColumn("told", F.coalesce("told", F.lit(0)))
     bits = F.log2((F.col("named") + 0.5) / (2 * sums[0] + 1)) - F.log2((F.col("told") + 0.5) / (sums[1] + 1))
@@ -246,34 +273,72 @@ def revealing_contexts(texts: DataFrame, terms: set[str] | None, listed: set[str
     return {r["context"] for r in rows}
 
 
+#: What an item of a form must hold, for the scan.
+SUSPECT = r"@|(?i)[\[({]\s*(?:at|arroba|chez)\s*[\])}]|(?:[0-9][^0-9\p{L}]{0,3}){6}|\p{Lu}{1,3}[0-9]{5}|\b(?:street|st|road|rd|lane|ln|close|avenue|ave|drive|court|place|square|way|terrace|crescent|gardens|grove|hill|row|walk|boulevard|blvd|mews|parade|box|postfach|apartado|postal|pocztowa|postale|rue|impasse|allée|chemin|quai|cours|route|calle|avenida|plaza|paseo|rua|travessa|praça|largo|camino|ronda|estrada|ulica)\b|\bc/|\b(?:av|ul|al|os)\.|(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm)\s+[0-9]"
+
+
+def harmless_forms(logs: DataFrame, fields: tuple[str, ...], answer: str = "answer") -> set[str]:
+    """The forms of ``form_of`` whose disclosure is at most ``FORM_BITS``: as common in the answers as in what users write."""
+    asked = [c for c in fields if c in logs.columns]
+
+    def kernel(batches: Iterator[dict]) -> Iterator[dict]:
+        for b in batches:
+            counts: dict[str, list[int]] = {}
+            for said, answer_text in zip(b["said"], b["answer"], strict=True):
+                own = "\n".join(x for x in said if x)
+                for side, text in enumerate((own, answer_text or "")):
+                    if not text:
+                        continue
+                    seen = {form_of(text[x:y], k) for x, y, k in forms(text) if side == 0 or text[x:y].lower() not in own.lower()}
+                    for form in seen:
+                        counts.setdefault(form, [0, 0])[side] += 1
+            yield {"form": list(counts), "asked": [c[0] for c in counts.values()], "told": [c[1] for c in counts.values()]}
+
+    suspect = F.coalesce(F.col(answer).rlike(SUSPECT), F.lit(False))
+    # a form that no answer holds has its full disclosure, so the users' texts are counted only beside such answers' forms
+    held = logs.where(suspect).select(F.array(F.lit(None).cast("string"), *[F.col(c) for c in asked]).alias("said"), F.col(answer).alias("answer"))
+    told = arrow_map(held, kernel, "form string, asked long, told long").groupBy("form").agg(F.sum("told").alias("told"))
+    n = logs.agg(F.count(answer), F.count(F.lit(1))).first()
+    told = told.where((F.col("told") > 0) & (F.col("told") >= FORM_RATE * n[0]))
+    common = {r["form"]: r["told"] for r in told.collect()}
+    if not common:
+        return set()
+    questions = logs.where(F.coalesce(F.concat_ws("\n", *asked).rlike(SUSPECT), F.lit(False))).select(F.array(*[F.col(c) for c in asked]).alias("said"), F.lit(None).cast("string").alias("answer"))
+    counted = arrow_map(questions, kernel, "form string, asked long, told long").groupBy("form").agg(F.sum("asked").alias("asked")).where(F.col("form").isin(list(common)))
+    written = {r["form"]: r["asked"] for r in counted.collect()}
+    bits = lambda f: log2((written.get(f, 0) + 0.5) / (n[1] + 1)) - log2((common[f] + 0.5) / (n[0] + 1))
+    return {f for f in common if bits(f) <= FORM_BITS}
+
+
 def _long(logs: DataFrame, row: str, fields: tuple[str, ...]) -> DataFrame:
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field_name"), F.col(f).alias("text")) for f in fields])).alias("p")
     return logs.select(F.col(row).cast("long").alias("row_id"), pairs).select("row_id", "p.field_name", "p.text").where(F.col("text").isNotNull())
 
 
-def _found(logs: DataFrame, listed: list[str], row: str, fields: tuple[str, ...], sent: int = MAX_SENT) -> tuple[DataFrame, set[str] | None, set[str], set[str]]:
+def _found(logs: DataFrame, listed: list[str], row: str, fields: tuple[str, ...], sent: int = MAX_SENT) -> tuple[DataFrame, set[str] | None, set[str], set[str], set[str]]:
     """The texts (with their revealing terms, if those are too many to send), and what is sent."""
     listed_set = {w.lower() for w in listed}
     texts = _long(logs, row, fields)
+    harmless = harmless_forms(logs, fields)
     terms = registered(logs).persist()
     n = terms.count()
     if n <= sent:
         known = {r["word"] for r in terms.collect()}
         terms.unpersist()
         plain = texts.withColumn("terms", F.lit(None).cast("array<string>"))
-        return plain, known, revealing_contexts(plain, known, listed_set), listed_set
+        return plain, known, revealing_contexts(plain, known, listed_set), listed_set, harmless
     words = texts.select("row_id", "field_name", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{2,})"), F.lit(1)))).alias("word"))
     per_text = words.join(terms, "word").groupBy("row_id", "field_name").agg(F.collect_list("word").alias("terms"))
     joined = texts.join(per_text, ["row_id", "field_name"], "left").withColumn("terms", F.coalesce("terms", F.array().cast("array<string>")))
-    return joined, None, revealing_contexts(joined, None, listed_set), listed_set
+    return joined, None, revealing_contexts(joined, None, listed_set), listed_set, harmless
 
 
 def items_found(logs: DataFrame, listed: list[str], row: str = "id", fields: tuple[str, ...] = ("question", "resolved_question"), sent: int = MAX_SENT) -> DataFrame:
     """``row_id, field_name, pii_type, start_pos``: one row per item; positions count from 1."""
-    texts, known, contexts, words = _found(logs, listed, row, fields, sent)
+    texts, known, contexts, words, harmless = _found(logs, listed, row, fields, sent)
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
-        finder = Finder(known, contexts, words)
+        finder = Finder(known, contexts, words, harmless)
         for b in batches:
             out: dict[str, list] = {"row_id": [], "field_name": [], "pii_type": [], "start_pos": []}
             for r, f, t, own in zip(b["row_id"], b["field_name"], b["text"], b["terms"], strict=True):
@@ -287,10 +352,10 @@ def items_found(logs: DataFrame, listed: list[str], row: str = "id", fields: tup
 
 def sanitised(logs: DataFrame, listed: list[str], row: str = "id", fields: tuple[str, ...] = ("question", "resolved_question"), sent: int = MAX_SENT) -> DataFrame:
     """``row_id, field_name, text, removed`` of the non-null texts, each item replaced by the placeholder of its type."""
-    texts, known, contexts, words = _found(logs, listed, row, fields, sent)
+    texts, known, contexts, words, harmless = _found(logs, listed, row, fields, sent)
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
-        finder = Finder(known, contexts, words)
+        finder = Finder(known, contexts, words, harmless)
         for b in batches:
             clean, removed = [], []
             for t, own in zip(b["text"], b["terms"], strict=True):

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomine.llm.frames import arrow_map
+from foliomine.llm.frames import arrow_map, send_small
 from foliomine.session import cut
 
 #: Encodings UTF-8 is mistaken for, and pairs of single-byte encodings (true, mistaken for).
@@ -251,7 +251,7 @@ def evidence(df: DataFrame, words: list[str], row: str, text: str, source: str)
                         continue
                     gains = chains.unit(unit)
                     if gains:
-                        best = sorted(gains.items(), key=lambda x: (-x[1], x[0]))[:4]
+                        best = sorted(gains.items(), key=lambda x: (-x[1], x[0]))
                         over = max(0.0, best[0][1] - STRONG)
                         best = [(c, round((g - over) * 2) / 2) for c, g in best]
                         best = [x for x in best if x[1] > 0]
@@ -318,7 +318,7 @@ def restore(df: DataFrame, words: list[str], row: str = "doc_id", text: str = "t
     # a row that is there twice has its marks twice
     marks = garbled_units(df, words, row, text, source).groupBy("row_id", "unit").agg(F.max("chain").alias("chain"))
     marks = marks.groupBy("row_id").agg(F.map_from_entries(F.collect_list(F.struct("unit", "chain"))).alias("chains"))
-    both = df.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(row).cast("long").alias("row_id"), F.col(text).alias("text")).join(marks, "row_id")
+    both = df.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(row).cast("long").alias("row_id"), F.col(text).alias("text")).join(send_small(marks), "row_id")
 
     def kernel(batches: Iterator[dict]) -> Iterator[dict]:
         chains = Chains(PairModel(words))

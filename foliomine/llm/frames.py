@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliomine.session import cut
+
 #: Spaces other than the plain one, for Java's regular expressions.
 JAVA_SPACES = r"\u00A0\u1680\u2000-\u200A\u202F\u205F\u3000"
 #: Zero-width characters, joiners, direction marks, soft hyphens.
@@ -20,6 +22,16 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+#: Rows of marks that are sent to every task.
+MAX_SENT_ROWS = 300_000
+
+
+def send_small(marks: DataFrame, rows: int = MAX_SENT_ROWS) -> DataFrame:
+    """Marks that texts are joined to, written once; sent to every task if they are few, so that no text is shuffled."""
+    marks = cut(marks)
+    return F.broadcast(marks) if marks.count() <= rows else marks
+
+
 def keep(df: DataFrame, condition: Column) -> DataFrame:
     """Filter on computed columns without computing them twice: the optimizer can't push this below the projection."""
     return df.withColumn("_at", F.spark_partition_id()).where(condition & (F.col("_at") >= 0)).drop("_at")

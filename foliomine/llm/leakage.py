@@ -24,10 +24,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliomine.llm.frames import arrow_map
+from foliomine.llm.frames import arrow_map, send_small
+from foliomine.session import cut
 
 MIN_WORDS = 10
 MAX_TEST_CHARS = 8_000_000
+MAX_HITS = 4_000_000
 
 _WORD = re.compile(r"[^\W_]+")
 _KEEP = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256))
@@ -113,7 +115,28 @@ def shard_matches(tests: TestSuffixes, docs: list[int], texts: list[str]) -> dic
     count = high - low
     if not count.sum():
         return out
-    which = np.repeat(np.arange(len(count)), count)
+    ends = np.cumsum(sizes)
+    begin = np.concatenate([[0], ends[:-1]])
+    # hits are looked at some millions at a time, so that repetitive texts and items take no more memory
+    upto, found = np.cumsum(count), np.zeros((0, 5), np.int64)
+    first = 0
+    while first < len(count):
+        last = max(first + 1, int(np.searchsorted(upto, (upto[first - 1] if first else 0) + MAX_HITS, side="right")))
+        found = _longest(np.concatenate([found, _extended(tests, tokens, starts, ends, low, count, first, last)]))
+        first = last
+    item_first = {int(i): int(p) for p, i in reversed(list(enumerate(tests.owners)))}
+    out["doc_id"] = [docs[i] for i in found[:, 0]]
+    out["item_id"] = found[:, 1].tolist()
+    out["words"] = found[:, 2].tolist()
+    out["doc_word"] = (found[:, 3] - begin[found[:, 0]]).tolist()
+    out["item_word"] = [int(p) - item_first[int(i)] for p, i in zip(found[:, 4], found[:, 1], strict=True)]
+    return out
+
+
+def _extended(tests: TestSuffixes, tokens: np.ndarray, starts: np.ndarray, ends: np.ndarray, low: np.ndarray, count: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The hits of some test suffixes: document, item, length of the match, where it starts in the shard and in the tests."""
+    count, low = count[first:last], low[first:last]
+    which = np.repeat(np.arange(first, last), count)
     place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(low, count)
     t_at, d_at = tests.starts[which], starts[place]
     length = np.full(len(t_at), tests.min_words, np.int64)
@@ -124,20 +147,15 @@ def shard_matches(tests: TestSuffixes, docs: list[int], texts: list[str]) -> dic
         going, t, d = going[inside], t[inside], d[inside]
         going = going[(tests.tokens[t] == tokens[d]) & (tokens[d] != 0)]
         length[going] += 1
-    ends = np.cumsum(sizes)
-    doc = np.searchsorted(ends, d_at, side="right")
-    item = tests.owners[t_at]
-    best = np.lexsort((d_at, -length, item, doc))
-    first = np.concatenate([[True], (np.diff(doc[best]) != 0) | (np.diff(item[best]) != 0)])
-    best = best[first]
-    item_first = {int(i): int(p) for p, i in reversed(list(enumerate(tests.owners)))}
-    begin = np.concatenate([[0], ends[:-1]])
-    out["doc_id"] = [docs[i] for i in doc[best]]
-    out["item_id"] = item[best].tolist()
-    out["words"] = length[best].tolist()
-    out["doc_word"] = (d_at[best] - begin[doc[best]]).tolist()
-    out["item_word"] = [int(p) - item_first[int(i)] for p, i in zip(t_at[best], item[best], strict=True)]
-    return out
+    return np.stack([np.searchsorted(ends, d_at, side="right"), tests.owners[t_at], length, d_at, t_at], axis=1)
+
+
+def _longest(hits: np.ndarray) -> np.ndarray:
+    """The longest hit of each document and item, the first of those of equal length."""
+    best = hits[np.lexsort((hits[:, 4], hits[:, 3], -hits[:, 2], hits[:, 1], hits[:, 0]))]
+    if not len(best):
+        return best
+    return best[np.concatenate([[True], (np.diff(best[:, 0]) != 0) | (np.diff(best[:, 1]) != 0)])]
 
 
 def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
@@ -157,6 +175,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", text: str
 
         narrow = documents.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
         found = arrow_map(narrow, kernel, schema)
+        if blocks > 1:
+            found = cut(found)  # one block after the other, so the driver holds one of them
         result = found if result is None else result.unionByName(found)
     assert result is not None
     return result
@@ -166,4 +186,4 @@ def without_leaks(documents: DataFrame, items: DataFrame, doc: str = "doc_id", *
     """The documents that hold no passage of a test item; all columns stay."""
     bad = leaks(documents, items, doc=doc, **parameters).select(F.col("doc_id").alias("_leaked")).distinct()
     own = documents.select(F.struct(*[F.col(f"`{c}`") for c in documents.columns]).alias("_own"), F.col(f"`{doc}`").alias("_key"))
-    return own.join(bad, F.col("_key") == F.col("_leaked"), "left_anti").select("_own.*")
+    return own.join(send_small(bad), F.col("_key") == F.col("_leaked"), "left_anti").select("_own.*")

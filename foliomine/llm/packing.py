@@ -4,8 +4,8 @@ Texts are counted once with a public tokenizer and cut into pieces of at most ``
 are cut).  Sizes are spread over shards by a hash, so that a source with a third of all rows is spread too; a shard
 holds about ``SHARD_TOKENS`` tokens whatever the input.  Within a shard a deficit round-robin over one queue per
 source fills window after window: each round adds a quantum in proportion to the source's target, and what a source
-couldn't use is carried to the next window.  The shortfall of the shards before it, source by source, is the deficit a
-shard starts with.  The pieces of a window go into containers best fit first, longest first; a container that
+couldn't use is carried to the next window.  The shortfall of the shards before it, source by source, is what a shard
+has to make up for, all of it, in equal parts over its windows.  The pieces of a window go into containers best fit first, longest first; a container that
 stays less than nearly full is carried into the next window.
 
 Null and empty texts have no tokens and still get a container.  Rows with the same id are separate items.
@@ -64,13 +64,17 @@ def pack_shard(items: list[tuple], targets: dict[str, float], deficits: dict[str
     queues: dict[str, deque] = {}
     for source, size, key in items:
         queues.setdefault(source, deque()).append((size, key))
-    deficit = {s: deficits.get(s, 0.0) for s in queues}
+    goal = float(window * capacity)
+    windows = max(1, -(-sum(x[1] for x in items) // int(goal)))
+    deficit = dict.fromkeys(queues, 0.0)
     out: list[tuple] = []
     carried: list[tuple[int, list]] = []
     at, next_container = 0, 0
     while queues:
-        goal = float(window * capacity)
         took, chosen = 0.0, []
+        if at < windows:
+            for s in queues:
+                deficit[s] += deficits.get(s, 0.0) / windows
         while queues and took < goal:
             live = sum(targets.get(s, 0.0) for s in queues)
             for s in sorted(queues):
@@ -119,11 +123,13 @@ def pack(df: DataFrame, item: str, text: str, source: str, capacity: int = CAPAC
     shards = max(1, -(-total // shard_tokens))
     n = F.col("n_tokens")
     starts = F.when(n > capacity, F.sequence(F.lit(0), n - 1, F.lit(capacity))).otherwise(F.array(F.lit(0)))
-    pieces = sizes.select("item_id", "source", "n_tokens", F.posexplode(starts).alias("piece", "first_token"))
+    # ids may be null or repeated; the place in what was written tells rows apart
+    place = F.monotonically_increasing_id().alias("place")
+    pieces = sizes.select("item_id", "source", "n_tokens", place).select("item_id", "source", "n_tokens", "place", F.posexplode(starts).alias("piece", "first_token"))
     pieces = pieces.withColumns(
         {
             "size": F.least(n - F.col("first_token"), F.lit(capacity)),
-            "shard": F.pmod(F.xxhash64("item_id", "piece"), F.lit(shards)).cast("int"),
+            "shard": F.pmod(F.xxhash64("item_id", "place", "piece"), F.lit(shards)).cast("int"),
         }
     )
     # shares wanted, and what the shards before each one took too little of each source
@@ -148,8 +154,7 @@ def pack(df: DataFrame, item: str, text: str, source: str, capacity: int = CAPAC
         names = ["source", "size", "item_id", "piece", "first_token"]
         columns = [left.column(c).to_pylist() for c in names]
         items = sorted(((s, n, (i, p, f)) for s, n, i, p, f in zip(*columns, strict=True)), key=lambda x: (((x[2][0] or 0) * 2654435761 + x[2][1]) & 0xFFFFFFFF, x[2][1]))
-        limit = float(window * capacity)
-        got = pack_shard(items, {m["source"]: m["target"] for m in mixture}, {m["source"]: max(-limit, min(limit, m["short"])) for m in mixture}, capacity, window)
+        got = pack_shard(items, {m["source"]: m["target"] for m in mixture}, {m["source"]: m["short"] for m in mixture}, capacity, window)
         return pa.table(
             {
                 "item_id": pa.array([k[0] for k, *_ in got], pa.int64()),
@@ -163,4 +168,7 @@ def pack(df: DataFrame, item: str, text: str, source: str, capacity: int = CAPAC
         )
 
     schema = "item_id long, piece int, first_token int, n_tokens int, shard int, window int, container int"
-    return keyed.groupBy("shard").cogroup(mix.select(F.col("part").alias("mix_shard"), "mix").groupBy("mix_shard")).applyInArrow(kernel, schema)
+    # shards are narrow, so that adaptive planning would put many into one task by their bytes: their number decides
+    tasks = min(shards, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), 4 * df.sparkSession.sparkContext.defaultParallelism))
+    mixes = mix.select(F.col("part").alias("mix_shard"), "mix").repartition(tasks, "mix_shard")
+    return keyed.repartition(tasks, "shard").groupBy("shard").cogroup(mixes.groupBy("mix_shard")).applyInArrow(kernel, schema)

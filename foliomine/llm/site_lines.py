@@ -21,6 +21,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliomine.llm.frames import send_small
 from foliomine.session import cut
 
 MIN_ROWS = 5
@@ -106,7 +107,7 @@ def without_site_lines(df: DataFrame, source: str, text: str, row: str, **parame
     """
     marks = marked_lines(df, source, text, row, **parameters).groupBy(F.col(row).alias("_row")).agg(F.collect_set("line_no").alias("_marks"))
     own = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("_own"), F.col(f"`{row}`").alias("_key"), F.col(f"`{text}`").alias("_text"))
-    joined = own.join(marks, F.col("_key") == F.col("_row"), "left")
+    joined = own.join(send_small(marks), F.col("_key") == F.col("_row"), "left")
     kept = F.filter(F.split("_text", "\n"), lambda x, i: ~F.array_contains(F.col("_marks"), i + 1))
     clean = F.when(F.col("_marks").isNull(), F.col("_text")).otherwise(F.array_join(kept, "\n"))
     columns = [clean.alias(c) if c == text else F.col("_own")[c].alias(c) for c in df.columns if c != "removed_lines"]

@@ -165,6 +165,18 @@ def test_frames_and_both_ways_of_sending_terms(spark):
     assert D.items_found(df.where("id < 0"), ["ear"]).count() == 0
 
 
+def test_forms_that_are_common_in_answers_reveal_no_one(spark):
+    rows = [(i, f"Order 0{i % 9}4 555 {1000 + i} please" if i % 2 else "ring 07700 900123 now", None, "x", f"The order number is 0{i % 9}4 555 {1000 + i}.") for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, question string, resolved_question string, user_name string, answer string")
+    assert D.harmless_forms(df, ("question", "resolved_question")) == {"phone:3 3 4"}
+    found = {(r["pii_type"], r["start_pos"]) for r in D.items_found(df, ["order", "please", "ring", "now"]).collect()}
+    assert found == {("phone", 6)}
+    silent = df.withColumn("answer", F.lit("nothing"))
+    assert {r["start_pos"] for r in D.items_found(silent, ["order", "please", "ring", "now"]).collect()} == {6, 7}
+    copied = df.withColumn("answer", F.col("question"))
+    assert D.harmless_forms(copied, ("question", "resolved_question")) == set()
+
+
 def test_the_field_is_fitted_on_six_thousand_logs(spark):
     df = spark.range(7_000).select("id", *[F.lit("x").alias(c) for c in ("question", "resolved_question", "answer")])
     assert len(B.sample(df)) == 6_000 and B.EPOCHS == 6
