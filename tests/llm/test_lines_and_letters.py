@@ -203,3 +203,27 @@ def test_noise_frames(spark):
     assert texts[90] is None and texts[91] == "" and texts[92].endswith("fungal") and texts[93].endswith("stroboscopy")
     empty = df.where("rec_id < 0")
     assert N.noise_found(empty, *N.word_counts(empty), VOCABULARY).count() == 0
+
+
+def test_reading_by_windows_equals_the_full_decode(spark):
+    """On every record of the small tables: the kinds found window by window are those of one program over the whole stream."""
+    import os
+
+    folder = "/root/testdata/sf0.01"
+    if not os.path.exists(folder):
+        pytest.skip("no test tables")
+    from foliomine.llm.encoding import word_list
+    from foliomine.llm.queries import _scanned
+    from foliomine.session import table
+
+    texts = _scanned(spark, folder)
+    counts, total = N.word_counts(texts)
+    decoder = N.Decoder(N.Vocabulary(counts, total, word_list(table(spark, folder, "word_freq"))))
+    compared = 0
+    for r in texts.where("text is not null").toLocalIterator():
+        lines, _, junk, odd = decoder.read(decoder.normal.text(r["text"])[0])
+        full = decoder.decode(decoder.stream(lines))[1]
+        assert decoder.operations(lines) == full, r["text"]
+        assert odd or not full
+        compared += 1
+    assert compared > 3_000
