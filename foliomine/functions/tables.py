@@ -137,3 +137,8 @@ def collapse_repeats(text: Column) -> Column:
     kept = F.filter(F.split(text, "\n"), lambda x: ~ruler(x))
     out = F.filter(F.transform(kept, lambda x: F.when(F.contains(x, F.lit("|")), row(x)).otherwise(x)), lambda x: x.rlike(rf"[^{SPACE}]"))
     return F.when(F.contains(text, F.lit("|")), strip(F.array_join(out, "\n"))).otherwise(strip(F.coalesce(text, F.lit(""))))
+
+
+def pipe_rows(markdown: Column) -> Column:
+    """How many lines hold two pipes at least; null holds none."""
+    return F.size(F.filter(F.split(F.coalesce(markdown, F.lit("")), "\n"), lambda x: F.regexp_count(x, F.lit(r"\|")) >= 2)).cast("int")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from foliomine.functions.tables import collapse_repeats
 from foliomine.functions.text import natural_key, strip
 
-#: A source in brackets with its page; sources are runs of letters.
+#: Fixed value: a source in brackets with its page; sources are runs of letters.
 MARKER = r"(?i)\[([a-z]+),?\s*p\.?\s*([0-9]+)\]"
 
 
@@ -56,6 +56,11 @@ def names_marker(body: Column, marker: str) -> Column:
     return F.contains(F.coalesce(body, F.lit("")), F.lit(marker))
 
 
+def fallback_reply(body: Column, marker: str, outside: str, disclaimer: str) -> Column:
+    """A reply that isn't from the sources: the disclaimer before it, or the fixed reply where it holds the sign of being out of scope."""
+    return F.when(names_marker(body, marker), F.lit(outside)).otherwise(F.concat(F.lit(disclaimer), F.coalesce(body, F.lit(""))))
+
+
 def source_label(source: Column, names: dict[str, str] | None = None) -> Column:
     """A source's listed name, else its own with spaces and capitals; null and '' have none."""
     from foliomine.functions.text import title_case

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from foliomine.functions.text import mask_name, strip
 
 HISTORY = 20
+#: Parts a busy user is spread over.
+SALTS = 16
 
 
 def usage_by(calls: DataFrame, *by: str) -> DataFrame:
@@ -47,11 +49,14 @@ def latest_valid(packs: DataFrame, now: str) -> DataFrame:
 def used_since_purchase(packs: DataFrame, logs: DataFrame, now: str) -> DataFrame:
     """Per user the latest valid pack and how many questions were asked since it was bought.
 
-    The users' logs are counted per user beside the pack's time, so a busy user comes down to a row before the join of counts.
+    A busy user's logs are spread over ``SALTS`` parts, each beside a copy of the user's one pack, and counted there
+    before the counts meet.
     """
     last = latest_valid(packs, now)
-    asked = logs.select("user_email", "created_at").join(last.select("user_email", "purchased_at"), "user_email").where(F.col("created_at") >= F.col("purchased_at"))
-    counts = asked.groupBy("user_email").agg(F.count(F.lit(1)).alias("used"))
+    spread = last.select("user_email", "purchased_at", F.explode(F.array(*[F.lit(i) for i in range(SALTS)])).alias("_salt"))
+    salted = logs.where(F.col("user_email").isNotNull()).select("user_email", "created_at", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int").alias("_salt"))
+    asked = salted.join(spread, ["user_email", "_salt"]).where(F.col("created_at") >= F.col("purchased_at"))
+    counts = asked.groupBy("user_email", "_salt").agg(F.count(F.lit(1)).alias("n")).groupBy("user_email").agg(F.sum("n").alias("used"))
     return last.join(counts, "user_email", "left").withColumn("used", F.coalesce("used", F.lit(0)))
 
 

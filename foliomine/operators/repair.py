@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 MIN_ZIPF, BEAT_BY = 2.0, 1.3
@@ -58,3 +58,17 @@ def repaired_texts(df: DataFrame, key: str, text: str, repairs: DataFrame) -> Da
     joined = df.select(key, text).join(hits, key, "left")
     fix = F.transform(parts, lambda p: F.coalesce(like(p, F.try_element_at("_map", F.lower(p))), p))
     return joined.select(key, F.when(F.col("_map").isNull(), F.col(text)).otherwise(F.array_join(fix, "")).alias(text))
+
+
+def repaired_file(spark: SparkSession, path: str, repairs: DataFrame, schema: str = "text string", text: str = "text") -> DataFrame:
+    """A file repaired by its kind: of ``.jsonl`` the text of each record, of any other the whole text as one row.
+
+    Record files are read by ``schema``; other fields stay as they are.
+    """
+    from foliomine.sources.records import read_jsonl, read_whole_texts
+
+    df = read_jsonl(spark, path, schema) if path.endswith(".jsonl") else read_whole_texts(spark, path)
+    df = df.withColumn("_row", F.xxhash64(*df.columns))
+    # records without an id are told apart by their content: equal ones are repaired alike
+    fixed = repaired_texts(df.select("_row", text).distinct(), "_row", text, repairs).withColumnRenamed(text, "_fixed")
+    return df.join(fixed, "_row").select(*[F.col("_fixed").alias(c) if c == text else F.col(c) for c in df.columns if c != "_row"])

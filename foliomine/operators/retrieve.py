@@ -1,20 +1,24 @@
 """Sparse, dense and fused ranking of records for many questions at once.
 
-Questions are a stated, bounded set; records are never joined to them as a product.  Sparse scores come from a
-postings join on terms; dense scores from blocks of vectors held against all questions, with the best of each block
+Questions are a stated, bounded set; records are never joined to them as a product.  Sparse scores come from an index
+that is written once (postings in order of their terms, weights, the mean length) and kept for as long as the files it
+was made from stay the same; dense scores from blocks of vectors held against all questions, with the best of each task
 kept before anything is shuffled.  Scores are ranked rounded to nine places, ties by ascending id.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from foliomine.functions.text import strip, tokens
+from foliomine.session import cut, scratch
 
 #: Depths, weights and floors of the ranking.
 RAW_K = 60
@@ -24,7 +28,7 @@ DENSE_WEIGHT, SPARSE_WEIGHT = 1.0, 0.5
 BOOST = 0.010
 STUB = 80
 K1, B, EPSILON = 1.5, 0.75, 0.25
-MAX_QUESTION_VALUES = 50_000_000
+MAX_QUESTION_VALUES = 4_000_000
 #: Terms of questions that are sent to every task.
 MAX_ASKED = 1_000_000
 
@@ -51,26 +55,66 @@ def idf(freqs: DataFrame, n: int) -> DataFrame:
     return freqs.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
+class SparseIndex:
+    """``postings`` (term, key, tf, n_terms) in order of the terms, ``weights`` (term, df, idf), ``docs`` and ``mean``."""
+
+    def __init__(self, corpus: DataFrame, key: str, text: str) -> None:
+        spark = corpus.sparkSession
+        path, words = scratch(spark, "postings"), scratch(spark, "weights")
+        once = corpus.select(F.col(key), tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("n_terms"), F.explode("t").alias("term"))
+        counted = once.groupBy(key, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
+        # ranges of (term, record): a term of a third of all records is several files, and a file's least and greatest
+        # term tell whether it is read
+        counted.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(path)
+        self.postings = spark.read.parquet(path)
+        self.docs = corpus.count()
+        freqs = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
+        freqs = freqs.withColumn("raw", F.log(F.lit(float(self.docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
+        freqs.write.parquet(words)
+        freqs = spark.read.parquet(words)
+        sums = freqs.agg(F.sum("n").alias("n"), F.avg("raw").alias("mean")).first()
+        self.mean = float((sums["n"] or 0) / self.docs if self.docs else 0) or 1.0
+        self.weights = freqs.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * (sums["mean"] or 0.0))).otherwise(F.col("raw")).alias("idf"))
+
+
+_kept: dict[tuple, tuple[tuple, SparseIndex]] = {}
+
+
+def _files(df: DataFrame) -> tuple:
+    """The files a table is read from, with their sizes and times; () where it isn't read from files."""
+    spark = df.sparkSession
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    out = []
+    for name in sorted(df.inputFiles()):
+        path = jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+def sparse_index(corpus: DataFrame, key: str = "doc_id", text: str = "text") -> SparseIndex:
+    """The index of a corpus; the one made before if neither its files nor what is taken from them changed."""
+    narrow = corpus.select(key, text)
+    files = _files(narrow)
+    if not files:
+        return SparseIndex(narrow, key, text)
+    name = (id(corpus.sparkSession._jsparkSession), narrow.sparkSession.sparkContext.applicationId, narrow.semanticHash(), key, text)
+    held = _kept.get(name)
+    if held is None or held[0] != files:
+        held = _kept[name] = (files, SparseIndex(narrow, key, text))
+    return held[1]
+
+
 def bm25_scores(corpus: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", qkey: str = "query_id", qtext: str = "query_text") -> DataFrame:
     """``qkey, key, score`` of every record that shares a term with a question; repeated question terms count again."""
-    # one pass for all statistics: each term once per record, the record's length beside its first term
-    once = corpus.select(tokens(F.col(text)).alias("t")).select(F.size("t").alias("n"), F.posexplode(F.array_distinct("t")).alias("at", "term"))
-    freqs = once.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum(F.when(F.col("at") == 0, F.col("n")).otherwise(0)).alias("n")).persist()
-    docs = corpus.count()
-    mean = ((freqs.agg(F.sum("n")).first()[0] or 0) / docs if docs else 0) or 1.0
-    weights = idf(freqs.select("term", "df"), docs)
+    index = sparse_index(corpus, key, text)
     asked = questions.select(qkey, F.explode(tokens(F.col(qtext))).alias("term")).groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = asked.join(weights.select("term", "idf"), "term").persist()
-    # a hot term would gather a third of all tokens in one task of a shuffled join: what is asked for is sent to the
+    asked = cut(asked.join(index.weights.select("term", "idf"), "term"))
+    # a hot term would gather a third of all postings in one task of a shuffled join: what is asked for is sent to the
     # tasks once its size is checked, and joined by shuffle only beyond that
     asked = F.broadcast(asked) if asked.count() <= MAX_ASKED else asked
-    # only terms that are asked for leave a record; tf and length are taken inside the record
-    terms = asked.select("term").distinct()
-    terms = F.broadcast(terms) if terms.count() <= MAX_ASKED else terms
-    long = corpus.select(F.col(key), tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("n_terms"), F.explode("t").alias("term"))
-    found = long.join(terms, "term", "left_semi").groupBy(key, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.lit(float(mean))))
-    return found.join(asked, "term").groupBy(qkey, key).agg(F.sum(part).alias("score"))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.lit(index.mean)))
+    return index.postings.join(asked, "term").groupBy(qkey, key).agg(F.sum(part).alias("score"))
 
 
 def top_ranked(scored: DataFrame, qkey: str, key: str, score: str, k: int, descending: bool = True) -> DataFrame:
@@ -83,19 +127,22 @@ def top_ranked(scored: DataFrame, qkey: str, key: str, score: str, k: int, desce
 
 def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int = RAW_K, key: str = "doc_id", text: str = "text", qkey: str = "query_id", qtext: str = "query_text") -> DataFrame:
     """``qkey, key, score, rank`` of the best k records per question, those without a shared term at score 0 included."""
-    scored = bm25_scores(corpus, questions, key, text, qkey, qtext).persist()
-    window = Window.partitionBy(qkey).orderBy(F.round("score", 9).desc(), F.col(key))
-    best = scored.withColumn("r", F.row_number().over(window)).where(F.col("r") <= k)
-    full = best.groupBy(qkey).agg(F.sum(F.when(F.round("score", 9) > 0, 1).otherwise(0)).alias("above"))
-    short = questions.select(qkey).distinct().join(full.where(F.col("above") >= k), qkey, "left_anti")
-    # a question with fewer than k positive records gets records of score 0, the lowest ids first
-    counts = short.join(scored.groupBy(qkey).agg(F.count(F.lit(1)).alias("m")), qkey, "left").agg(F.count(F.lit(1)).alias("n"), F.max("m").alias("m")).first()
-    if counts["n"]:
-        heads = corpus.select(key).orderBy(key).limit(k + (counts["m"] or 0))
-        pairs = short.select(qkey, F.lit(1).alias("_x")).join(heads.withColumn("_x", F.lit(1)), "_x").drop("_x")
-        zeros = pairs.join(scored, [qkey, key], "left_anti").withColumn("score", F.lit(0.0))
-        scored = scored.unionByName(zeros)
-    return top_ranked(scored, qkey, key, "score", k)
+    found = bm25_scores(corpus, questions, key, text, qkey, qtext)
+    best = cut(top_ranked(found.where(F.round("score", 9) > 0), qkey, key, "score", k))
+    full = best.groupBy(qkey).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
+    short = cut(questions.select(qkey, qtext).join(full, qkey, "left_anti"))
+    if short.isEmpty():
+        return best
+    # a question with fewer than k positive records gets records of score 0, the lowest ids first: those among the
+    # lowest k + m that it has no score for.  Only where weights are negative, in a corpus of few words, is m over k
+    scored = cut(bm25_scores(corpus, short, key, text, qkey, qtext))
+    most = scored.groupBy(qkey).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
+    kind = dict(corpus.dtypes)[key]
+    heads = [r[0] for r in corpus.where(F.col(key).isNotNull()).select(key).orderBy(key).limit(k + most).collect()]
+    pairs = short.select(qkey).distinct().select(qkey, F.explode(F.from_json(F.lit(json.dumps(heads)), f"array<{kind}>")).alias(key))
+    zeros = pairs.join(scored, [qkey, key], "left_anti").withColumn("score", F.lit(0.0))
+    rest = top_ranked(scored.unionByName(zeros), qkey, key, "score", k)
+    return best.join(full.select(qkey), qkey, "left_semi").unionByName(rest)
 
 
 def only_sources(ranked: DataFrame, corpus: DataFrame, sources: list[str], k: int = RAW_K, key: str = "doc_id", source: str = "source", qkey: str = "query_id") -> DataFrame:
@@ -108,9 +155,9 @@ def only_sources(ranked: DataFrame, corpus: DataFrame, sources: list[str], k: in
 def dense_topk(vectors: DataFrame, questions: DataFrame, k: int = RAW_K, key: str = "vec_id", vector: str = "embedding", qkey: str = "query_id", sent: int = MAX_QUESTION_VALUES) -> DataFrame:
     """``qkey, key, distance, rank``: the k nearest by squared distance, exact.
 
-    The questions' vectors are sent to the tasks in blocks of at most ``sent`` numbers, one pass over the vectors each;
-    each batch of vectors is held against all of a block and gives its own best k, so what is shuffled is small.
-    Null vectors are left out.
+    The questions' vectors are sent to the tasks in blocks of at most ``sent`` numbers, one pass over the vectors and one
+    written result each, so the driver holds one block.  A task keeps its best k of each question over all its batches
+    and gives them once, so what is shuffled grows with the tasks and not with the vectors.  Null vectors are left out.
     """
     asked = questions.where(F.col(vector).isNotNull()).select(qkey, vector)
     numbers = asked.agg(F.sum(F.size(vector))).first()[0] or 0
@@ -118,43 +165,57 @@ def dense_topk(vectors: DataFrame, questions: DataFrame, k: int = RAW_K, key: st
     near = None
     for block in range(blocks):
         part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == block)
-        found = _nearest(vectors, part.collect(), k, key, vector, qkey)
+        found = top_ranked(_nearest(vectors, part.collect(), k, key, vector, qkey, dict(questions.dtypes)[qkey]), qkey, key, "distance", k, descending=False)
+        found = cut(found) if blocks > 1 else found
         near = found if near is None else near.unionByName(found)
-    return top_ranked(near, qkey, key, "distance", k, descending=False)
+    return near
+
+
+def best_of(near: tuple[np.ndarray, np.ndarray], block: np.ndarray, keys: np.ndarray, one: np.ndarray, rough: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of what is held (keys, distances) and a block; ``rough`` distances choose whose exact one is taken."""
+    if len(rough) > k:
+        limit = np.partition(rough, k - 1)[k - 1] + 1e-6
+        chosen = np.flatnonzero(rough <= limit)
+    else:
+        chosen = np.arange(len(rough))
+    far = ((block[chosen] - one) ** 2).sum(axis=1)
+    all_keys, all_far = np.concatenate([near[0], keys[chosen]]), np.concatenate([near[1], far])
+    # ties are settled by the id
+    order = np.lexsort((all_keys, np.round(all_far, 9)))[:k]
+    return all_keys[order], all_far[order]
 
 
-def _nearest(vectors: DataFrame, rows: list, k: int, key: str, vector: str, qkey: str) -> DataFrame:
-    """``qkey, key, distance``: of each batch of vectors the k nearest to each question."""
+def _nearest(vectors: DataFrame, rows: list, k: int, key: str, vector: str, qkey: str, qkind: str) -> DataFrame:
+    """``qkey, key, distance``: of each task's vectors the k nearest to each question."""
     kind = dict(vectors.dtypes)[key]
+    schema = f"{qkey} {qkind}, {key} {kind}, distance double"
     if not rows:
-        return vectors.sparkSession.createDataFrame([], f"{qkey} long, {key} {kind}, distance double")
+        return vectors.sparkSession.createDataFrame([], schema)
     ids = [r[0] for r in rows]
     held = np.array([r[1] for r in rows], dtype=np.float64)
+    arrow = to_arrow_schema(vectors.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        near: list[tuple[np.ndarray, np.ndarray]] | None = None
+        lengths = (held**2).sum(axis=1)
         for batch in batches:
             n = batch.num_rows
             if not n:
                 continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-            block = flat.reshape(n, -1)
+            block = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(n, -1)
             keys = np.array(batch.column(0).to_pylist())
-            out_q, out_k, out_d = [], [], []
-            for q, one in zip(ids, held, strict=True):
-                far = ((block - one) ** 2).sum(axis=1)
-                if n > k:
-                    limit = np.partition(np.round(far, 9), k - 1)[k - 1]
-                    near = np.flatnonzero(np.round(far, 9) <= limit)
-                else:
-                    near = np.arange(n)
-                # ties at the limit are settled by the id
-                near = near[np.lexsort((keys[near], np.round(far[near], 9)))][:k]
-                out_q += [q] * len(near)
-                out_k += keys[near].tolist()
-                out_d += far[near].tolist()
-            yield pa.RecordBatch.from_arrays([pa.array(out_q, pa.int64()), pa.array(out_k, batch.column(0).type), pa.array(out_d, pa.float64())], names=[qkey, key, "distance"])
-
-    return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, f"{qkey} long, {key} {kind}, distance double")
+            near = near or [(keys[:0], np.zeros(0))] * len(ids)
+            own = (block**2).sum(axis=1)
+            for at in range(0, len(ids), 256):
+                rough = lengths[at : at + 256, None] + own - 2 * held[at : at + 256] @ block.T
+                for i, row in enumerate(rough, at):
+                    near[i] = best_of(near[i], block, keys, held[i], row, k)
+        if near:
+            sizes = [len(f) for _, f in near]
+            columns = [[q for q, m in zip(ids, sizes, strict=True) for _ in range(m)], np.concatenate([x for x, _ in near]).tolist(), np.concatenate([f for _, f in near])]
+            yield pa.RecordBatch.from_arrays([pa.array(c, arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
+
+    return vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(run, schema)
 
 
 def fuse(dense: DataFrame, sparse: DataFrame, key: str = "doc_id", qkey: str = "query_id") -> DataFrame:

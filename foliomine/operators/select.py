@@ -85,3 +85,14 @@ def sanitised_plan(plan: Column, question: Column) -> Column:
     kept = F.when((F.size(clean) == 0) | (size < 3 * F.size(clean)), F.array(standalone)).otherwise(clean)
     scope = F.coalesce(get("$.in_scope", "boolean"), F.lit(True))
     return F.struct(standalone.alias("standalone"), kept.alias("sub_queries"), F.when(is_object, scope).otherwise(True).alias("in_scope"))
+
+
+def scope_gate(df: DataFrame, in_scope: Column, reply: str, answer: str = "answer", missing: str = "") -> DataFrame:
+    """``in_scope`` (true for null), the answer or the fixed reply of what is out of scope, and ``grounded``, which follows."""
+    kept = F.coalesce(in_scope, F.lit(True))
+    return df.withColumn("in_scope", kept).withColumn(answer, F.when(F.col("in_scope"), F.coalesce(F.col(answer), F.lit(missing))).otherwise(reply)).withColumn("grounded", F.col("in_scope"))
+
+
+def search_rows(hits: DataFrame, qkey: str, rank: str, key: str, source: str, page: str, text: str) -> DataFrame:
+    """What a search gives of its hits: the question, the place, the id, and source, page and text."""
+    return hits.select(qkey, F.col(rank).cast("long").alias("hit_rank"), key, F.col(source).alias("source"), F.col(page).alias("page"), F.col(text).alias("text"))

@@ -363,9 +363,15 @@ def usage_by_model(spark: SparkSession, folder: str) -> DataFrame:
     return logs.usage_by(table(spark, folder, "usage_calls"), "model")
 
 
-@query("SELECT log_id, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS input_tokens, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS output_tokens, CAST(sum(coalesce(input_tokens, 0)) + sum(coalesce(output_tokens, 0)) AS BIGINT) AS total_tokens, count(DISTINCT coalesce(model, 'unknown')) AS n_models FROM usage_calls GROUP BY log_id")
+@query(
+    """WITH m AS (SELECT log_id, model, count(*) AS calls, CAST(sum(coalesce(input_tokens, 0)) AS BIGINT) AS i, CAST(sum(coalesce(output_tokens, 0)) AS BIGINT) AS o, CAST(round(sum(coalesce(cost_usd, 0)) * 1000000) AS BIGINT) AS c FROM usage_calls GROUP BY log_id, model)
+SELECT log_id, CAST(sum(i) AS BIGINT) AS input_tokens, CAST(sum(o) AS BIGINT) AS output_tokens, CAST(sum(i) + sum(o) AS BIGINT) AS total_tokens, count(*) AS n_models, CAST(sum(c) AS BIGINT) AS cost_millionths, string_agg(coalesce(model, 'unknown') || ' ' || calls || ' ' || i || ' ' || o || ' ' || c, '; ' ORDER BY coalesce(model, 'unknown')) AS breakdown FROM m GROUP BY log_id"""
+)
 def usage_totals(spark: SparkSession, folder: str) -> DataFrame:
-    return logs.usage_totals(table(spark, folder, "usage_calls")).select("log_id", "input_tokens", "output_tokens", "total_tokens", F.map_keys("cost_breakdown").alias("k")).select("log_id", "input_tokens", "output_tokens", "total_tokens", F.size("k").cast("long").alias("n_models"))
+    totals = logs.usage_totals(table(spark, folder, "usage_calls"))
+    millionths = lambda c: F.round(c * 1000000).cast("long")
+    shown = F.array_join(F.transform(F.map_entries("cost_breakdown"), lambda e: F.concat_ws(" ", e["key"], e["value"]["calls"].cast("string"), e["value"]["input_tokens"].cast("string"), e["value"]["output_tokens"].cast("string"), millionths(e["value"]["cost_usd"]).cast("string"))), "; ")
+    return totals.select("log_id", "input_tokens", "output_tokens", "total_tokens", F.size("cost_breakdown").cast("long").alias("n_models"), millionths(F.col("cost_usd")).alias("cost_millionths"), shown.alias("breakdown"))
 
 
 @query("SELECT user_email, count(*) AS n FROM query_logs WHERE user_email IS NOT NULL GROUP BY user_email")
@@ -520,7 +526,7 @@ def page_ranges(spark: SparkSession, folder: str) -> DataFrame:
     return specs.select("spec_id", F.array_join(page_list(F.col("spec"), F.col("n")).cast("array<string>"), ",").alias("pages"), F.array_join(page_list(F.col("spec"), F.col("n"), False).cast("array<string>"), ",").alias("as_written"))
 
 
-@query(f"SELECT id, row_number() OVER (ORDER BY {S.natural('id')}, id) AS place FROM (SELECT DISTINCT doc || '_b' || block_index AS id FROM blocks WHERE doc IS NOT NULL AND block_index IS NOT NULL) QUALIFY place <= 500")
+@query(f"SELECT id, row_number() OVER (ORDER BY {S.natural('id')}, id) AS place FROM (SELECT DISTINCT doc || '_b' || block_index AS id FROM blocks WHERE doc IS NOT NULL AND block_index IS NOT NULL)")
 def natural_order(spark: SparkSession, folder: str) -> DataFrame:
     """Every id with its place in natural order; no task sorts more than a range of them."""
     ids = table(spark, folder, "blocks").where("doc is not null and block_index is not null").select(F.concat("doc", F.lit("_b"), F.col("block_index").cast("string")).alias("id")).distinct()

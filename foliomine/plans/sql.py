@@ -67,7 +67,7 @@ sparse AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVE
 
 
 ITEMS = "SELECT item_id AS query_id, text AS query_text FROM eval_items WHERE item_id % 20 = 0"
-TITLES = "SELECT doc_id AS query_id, title AS query_text FROM documents WHERE doc_id % 20 = 0 AND doc_id IN (SELECT vec_id FROM embeddings)"
+TITLES = "SELECT doc_id AS query_id, title AS query_text FROM documents WHERE doc_id % 20 = 0"
 DISTANCE = "list_sum([(CAST(_z[1] AS DOUBLE) - CAST(_z[2] AS DOUBLE)) * (CAST(_z[1] AS DOUBLE) - CAST(_z[2] AS DOUBLE)) for _z in list_zip(e.embedding, q.embedding)])"
 
 

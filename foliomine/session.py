@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
 import os
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,7 +57,20 @@ def shared_dir(spark: SparkSession) -> str:
     master = spark.sparkContext.master
     if not master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return "file://" + tempfile.mkdtemp(prefix="foliomine-")
+    return "file://" + _own_folder()
+
+
+@functools.cache
+def _own_folder() -> str:
+    """One temporary folder a process, taken away when it ends."""
+    folder = tempfile.mkdtemp(prefix="foliomine-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame) -> DataFrame:

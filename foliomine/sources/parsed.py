@@ -36,6 +36,21 @@ def layout_labels(label: Column) -> Column:
     return F.lower(F.coalesce(label.cast("string"), F.lit("")))
 
 
+def first_page(provs: Column) -> Column:
+    """The page of an item's first provenance, null where it has none."""
+    return F.try_element_at(provs, F.lit(1))["page"]
+
+
+#: How columns and rows of a table are told, by the finder's strategy.
+FINDER = {"lines": ("lines", "lines"), "text": ("text", "text"), "mixed": ("lines", "text")}
+
+
+def finder_settings(strategy: Column) -> Column:
+    """``name, vertical, horizontal`` of a table finder's strategy; an unknown one has only its name."""
+    pick = lambda i: F.try_element_at(F.create_map(*[F.lit(x) for k, v in FINDER.items() for x in (k, v[i])]), strategy)
+    return F.struct(strategy.alias("name"), pick(0).alias("vertical"), pick(1).alias("horizontal"))
+
+
 def joined_text_blocks(blocks: Column) -> Column:
     """The text of a reply's blocks of type text, joined and stripped."""
     kept = F.filter(F.coalesce(blocks, F.array().cast("array<struct<type:string,text:string>>")), lambda b: b["type"] == "text")

@@ -70,6 +70,18 @@ def append(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+#: What a log record always has; usage may be missing.
+LOG_USAGE = {"input_tokens": "int", "output_tokens": "int", "total_tokens": "int", "cost_usd": "double", "cost_breakdown": "string"}
+
+
+def append_logs(logs: DataFrame, path: str) -> None:
+    """Log records appended; a null answer is written as '', usage columns that aren't given are null."""
+    for name, kind in LOG_USAGE.items():
+        if name not in logs.columns:
+            logs = logs.withColumn(name, F.lit(None).cast(kind))
+    append(logs.withColumn("answer", F.coalesce("answer", F.lit(""))), path)
+
+
 def upserted(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
     """What a store holds after an upsert: the new rows, and the old ones whose id isn't among them."""
     return old.join(new.select(key).distinct(), key, "left_anti").unionByName(new, allowMissingColumns=True)

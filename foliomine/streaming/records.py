@@ -39,20 +39,31 @@ def bounded_history(turns: DataFrame, n: int = 20, key: str = "user_email") -> D
     return kept.groupBy(key).applyInPandasWithState(step, f"{key} string, entries array<string>", "entries array<string>", "update", "NoTimeout")
 
 
-def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: str = "id", order: str = "loaded_at") -> StreamingQuery:
-    """Load what is there and stop; each batch is written once more after a failure, and later versions win."""
+def upsert_stream(stream: DataFrame, target: str, checkpoint: str, key: str = "id", order: str = "loaded_at", tie: str | None = None) -> StreamingQuery:
+    """Load what is there and stop; each batch is written once more after a failure, under its own number.
+
+    Of each key a batch keeps its latest version by ``order``, ties by ``tie`` (the key by default).
+    """
 
     def write(batch: DataFrame, number: int) -> None:
         from foliomine.operators.logs import latest_version
 
-        latest_version(batch, [key], order, key).withColumn("_batch", F.lit(number)).write.mode("overwrite").parquet(f"{target}/batch={number}")
+        latest_version(batch, [key], order, tie or order).write.mode("overwrite").parquet(f"{target}/batch={number}")
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def upserted_table(spark, target: str, key: str = "id") -> DataFrame:
-    """The table a stream of upserts left: of each id the version of the last batch."""
-    from foliomine.operators.logs import latest_version
+def upserted_table(spark, target: str, key: str = "id", order: str = "loaded_at", tie: str | None = None) -> DataFrame:
+    """The table a stream of upserts left: of each id the latest version by ``order``, whichever batch brought it.
 
+    Versions that are equal in ``order`` and ``tie`` fall to the later batch.
+    """
     df = spark.read.parquet(target)
-    return latest_version(df, [key], "_batch", "_batch").drop("_batch", "batch")
+    rest = [c for c in df.columns if c not in (key, "batch")]
+    last = F.max_by(F.struct(*rest), F.struct(order, tie or order, "batch"))
+    return df.groupBy(key).agg(last.alias("_last")).select(key, *[F.col(f"_last.{c}").alias(c) for c in rest])
+
+
+def compacted(spark, target: str, into: str, key: str = "id", order: str = "loaded_at", tie: str | None = None) -> None:
+    """The latest versions written anew as one batch: a long stream's table is replaced by this from time to time."""
+    upserted_table(spark, target, key, order, tie).write.mode("overwrite").parquet(f"{into}/batch=0")

@@ -7,7 +7,7 @@ import re
 
 import pytest
 
-from foliomine.plans import catalog
+from foliomine.plans import catalog, records  # noqa: F401  (records registers its queries)
 
 
 @pytest.mark.parametrize("name", sorted(catalog.SQL))
