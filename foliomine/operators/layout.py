@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomine.functions.text import norm, strip
-from foliomine.operators.scans import previous, running_last, running_sum
+from foliomine.operators.scans import run_numbers, running
 
 PAGE_WIDTH = 595.0
 WIDE, GUTTER, LEAST_COLUMN = 0.60, 0.04, 0.15
@@ -125,17 +125,18 @@ def fold_items(items: DataFrame, captions: DataFrame | None = None, doc: str = "
         df = df.join(known.withColumn("_is", F.lit(True)), (F.col("_kind") == "caption") & (F.col(doc) == F.col("_cdoc")) & (norm(F.col("_text")) == F.col("_cap")), "left")
         df = df.withColumn("_kind", F.when(F.coalesce("_is", F.lit(False)), "skip").otherwise(F.col("_kind"))).drop("_is", "_cdoc", "_cap")
     # runs of list items
-    df = previous(df, doc, page, order, F.col("_kind"), "_before")
-    df = running_sum(df, doc, page, order, F.when((F.col("_kind") != "item") | (F.coalesce("_before", F.lit("")) != "item"), 1).otherwise(0), "_unit")
+    # whether a text is blank, and the text of a heading, stand in columns of their own: what runs over pages needs no text
+    line = strip(F.col("_text"))
+    df = df.withColumns({"_line": line, "_full": line != "", "_head": F.when((F.col("_kind") == "heading") & (line != ""), line)})
+    df = run_numbers(df, doc, page, order, "_kind", "item", "_unit")
     first = F.min(F.struct(F.col(page).isNull().alias("n"), F.col(page).alias("p"), F.col(ord).alias("o")))
-    parts = F.array_sort(F.collect_list(F.struct(F.col(page).isNull().alias("n"), F.col(page).alias("p"), F.col(ord).alias("o"), strip(F.col("_text")).alias("t"))))
-    units = df.groupBy(doc, "_unit", "_kind").agg(first.alias("_at"), strip(F.array_join(F.transform(parts, lambda x: x["t"]), "\n")).alias("_t"))
-    units = units.select(doc, F.col("_at.p").alias(page), F.col("_at.o").alias(ord), "_kind", "_t")
-    emits = (F.col("_kind").isin("item", "caption", "text")) & (F.col("_t") != "")
+    parts = F.array_sort(F.collect_list(F.struct(F.col(page).isNull().alias("n"), F.col(page).alias("p"), F.col(ord).alias("o"), F.col("_line").alias("t"))))
+    units = df.groupBy(doc, "_unit", "_kind").agg(first.alias("_at"), F.max("_full").alias("_full"), F.max("_head").alias("_head"), strip(F.array_join(F.transform(parts, lambda x: x["t"]), "\n")).alias("_t"))
+    units = units.select(doc, F.col("_at.p").alias(page), F.col("_at.o").alias(ord), "_kind", "_full", "_head", "_t")
+    emits = F.col("_kind").isin("item", "caption", "text") & F.col("_full")
     units = units.withColumn("_emits", emits)
-    units = running_sum(units, doc, page, order, F.when(F.col("_emits"), 1).otherwise(0), "_fold", inclusive=False)
-    units = running_last(units, doc, page, order, F.when((F.col("_kind") == "heading") & (F.col("_t") != ""), F.col("_t")), "section")
-    kept = units.where(F.col("_emits") | ((F.col("_kind") == "heading") & (F.col("_t") != "")))
+    units = running(units, doc, page, order, {"_fold": F.when(F.col("_emits"), 1).otherwise(0)}, {"section": F.col("_head")})
+    kept = units.where(F.col("_emits") | F.col("_head").isNotNull())
     texts = F.array_sort(F.collect_list(F.struct(F.col("_emits").alias("e"), F.col(page).isNull().alias("n"), F.col(page).alias("p"), F.col(ord).alias("o"), F.col("_t").alias("t"), F.col("section").alias("s"), F.col("_kind").alias("k"))))
     groups = kept.groupBy(doc, "_fold").agg(texts.alias("_g"))
     end = F.element_at("_g", -1)
