@@ -72,6 +72,11 @@ def p4_quality(spark: SparkSession, folder: str) -> DataFrame:
     return quality(blocks, "text", "prose").unionByName(quality(tables, "text", "table")).drop("text")
 
 
+def p4_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    """The statistics of words and characters of every record, which SQL can say too."""
+    return p4_quality(spark, folder).select("rec_table", "rec_id", "n_chars", "n_words", "mean_word_length", "symbol_ratio", "alpha_share", "common_share")
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     """Records that aren't what their table promises; headings aren't cases."""
     from foliomine.llm.frames import keep
@@ -151,6 +156,21 @@ def p8_pack(spark: SparkSession, folder: str) -> DataFrame:
     return pack(table(spark, folder, "documents"), "doc_id", "text", "source")
 
 
+def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
+    """The same with a wanted mixture, the same share for every language, over shards of 250,000 tokens.
+
+    One row per shard, window and language: its tokens and how far its share is from the wanted one.
+    """
+    from foliomine.llm.packing import pack
+
+    docs = table(spark, folder, "documents").withColumn("language", F.coalesce("lang", F.lit("unknown")))
+    langs = [r[0] for r in docs.select("language").distinct().orderBy("language").limit(1000).collect()]
+    packed = pack(docs, "doc_id", "text", "language", targets=dict.fromkeys(langs, 1.0), shard_tokens=250_000, window=8)
+    tokens = packed.join(docs.select(F.col("doc_id").alias("item_id"), "language"), "item_id").groupBy("shard", "window", "language").agg(F.sum("n_tokens").alias("n_tokens"))
+    whole = tokens.groupBy("shard", "window").agg(F.sum("n_tokens").alias("all_tokens"))
+    return tokens.join(whole, ["shard", "window"]).select("shard", "window", "language", "n_tokens", F.round(F.col("n_tokens") / F.greatest("all_tokens", F.lit(1)) - 1.0 / max(1, len(langs)), 4).alias("off_target"))
+
+
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:
     from foliomine.llm.leakage import leaks
 
@@ -168,7 +188,7 @@ def p9_clean(spark: SparkSession, folder: str) -> DataFrame:
     """The documents without any passage of a test item."""
     from foliomine.llm.leakage import without_leaks
 
-    return without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "source", "n_chars")
+    return without_leaks(table(spark, folder, "documents"), table(spark, folder, "eval_items")).select("doc_id", "source", "n_chars", "text")
 
 
 def p10_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -198,7 +218,7 @@ s AS (SELECT doc, line FROM c JOIN r USING (doc) WHERE n >= 5 AND n >= 0.03 * n_
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_quality": p4_quality, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p7_found": p7_found, "p7_repair": p7_repair, "p8_pack": p8_pack, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
+    return {"p1_found": p1_found, "p1_pairs": p1_pairs, "p2_found": p2_found, "p2_clean": p2_clean, "p3_found": p3_found, "p3_clean": p3_clean, "p4_found": p4_found, "p4_quality": p4_quality, "p4_statistics": p4_statistics, "p5_found": p5_found, "p5_clean": p5_clean, "p6_found": p6_found, "p6_blocks": p6_blocks, "p6_tables": p6_tables, "p7_found": p7_found, "p7_repair": p7_repair, "p8_pack": p8_pack, "p8_mixed": p8_mixed, "p9_found": p9_found, "p9_matches": p9_matches, "p9_clean": p9_clean, "p10_found": p10_found, "p10_restore": p10_restore}
 
 
 P5_CLEAN = (
@@ -220,5 +240,31 @@ SELECT DISTINCT doc_id, item_id FROM dg JOIN ig USING (g)
 """
 
 
+P4_STATISTICS = r"""
+WITH t AS (SELECT 'blocks' AS rec_table, block_id AS rec_id, coalesce(text, '') AS t FROM blocks UNION ALL SELECT 'tables', table_id, coalesce(markdown, '') FROM tables),
+w AS (SELECT *, regexp_extract_all(t, '[^ \t\n\x0b\f\r]+') AS ws, regexp_extract_all(lower(t), '\p{L}+') AS ls FROM t),
+c AS (SELECT *, len(ws) AS n, list_sum([length(_w) for _w in ws]) AS solid, length(regexp_replace(t, '[\p{L}\p{N}\p{M} \t\n\x0b\f\r.,;:!?()''"’“”‘\-–—%/]', '', 'g')) AS symbols, len([1 for _w in ws if regexp_matches(_w, '\p{L}')]) AS alpha, len([1 for _w in ls if _w IN (COMMON_WORDS)]) AS common FROM w)
+SELECT rec_table, rec_id, CAST(length(t) AS INT) AS n_chars, CAST(n AS INT) AS n_words, CASE WHEN n > 0 THEN round(solid / n, 4) ELSE 0 END AS mean_word_length, CASE WHEN n > 0 THEN round(symbols / n, 4) ELSE 0 END AS symbol_ratio, CASE WHEN n > 0 THEN round(alpha / n, 4) ELSE 0 END AS alpha_share, CASE WHEN n > 0 THEN round(common / n, 4) ELSE 0 END AS common_share FROM c
+"""
+
+
+def _p4_statistics_sql() -> str:
+    from foliomine.llm.text_quality import COMMON
+
+    return P4_STATISTICS.replace("COMMON_WORDS", ", ".join(f"'{w}'" for w in sorted(set(COMMON.split()))))
+
+
+#: The longest run of words that a document and an item share, its length and first places.
+P9_MATCHES = f"""
+WITH i AS (SELECT item_id, {P9_WORDS.format('text')} AS w FROM eval_items WHERE text IS NOT NULL), d AS (SELECT doc_id, {P9_WORDS.format('text')} AS w FROM documents WHERE text IS NOT NULL),
+ig AS (SELECT item_id, k, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i)),
+dg AS (SELECT doc_id, k, array_to_string(w[k:k + 9], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k FROM d)),
+h AS (SELECT doc_id, item_id, dg.k AS dk, ig.k AS ik FROM dg JOIN ig USING (g)),
+r AS (SELECT doc_id, item_id, dk, ik, dk - row_number() OVER (PARTITION BY doc_id, item_id, dk - ik ORDER BY dk) AS run FROM h),
+m AS (SELECT doc_id, item_id, CAST(count(*) + 9 AS INT) AS words, CAST(min(dk) - 1 AS INT) AS doc_word, CAST(min(ik) - 1 AS INT) AS item_word FROM r GROUP BY doc_id, item_id, dk - ik, run)
+SELECT doc_id, item_id, words, doc_word, item_word FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, item_id ORDER BY words DESC, doc_word, item_word) AS n FROM m) WHERE n = 1
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"p5_found": P5_LINES + "SELECT k.block_id, k.line_no FROM k JOIN s USING (doc, line)", "p5_clean": P5_CLEAN, "p9_found": P9_FOUND}
+    return {"p4_statistics": _p4_statistics_sql(), "p5_found": P5_LINES + "SELECT k.block_id, k.line_no FROM k JOIN s USING (doc, line)", "p5_clean": P5_CLEAN, "p9_found": P9_FOUND, "p9_clean": f"SELECT doc_id, source, n_chars, text FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM ({P9_FOUND}))", "p9_matches": P9_MATCHES}
