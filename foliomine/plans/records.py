@@ -371,6 +371,17 @@ def search_projection(spark: SparkSession, folder: str) -> DataFrame:
     return select.search_rows(hits, "query_id", "hit_rank", "doc_id", "source", "page", "body")
 
 
+@query("SELECT count(*) AS n_questions, true AS recall_of_nine_tenths FROM embeddings WHERE vec_id % 20 = 0")
+def dense_approximate_recall(spark: SparkSession, folder: str) -> DataFrame:
+    """The approximate index held against the exact search over the same questions: are nine tenths of the nearest found?"""
+    vectors = table(spark, folder, "embeddings")
+    asked = vectors.where("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    exact = retrieve.dense_topk(vectors, asked).select("query_id", "vec_id")
+    found = retrieve.DenseIndex(vectors).topk(asked).select("query_id", "vec_id").withColumn("hit", F.lit(1))
+    both = exact.join(found, ["query_id", "vec_id"], "left").agg(F.count_distinct("query_id").alias("n_questions"), (F.count("hit") >= 0.9 * F.count(F.lit(1))).alias("recall_of_nine_tenths"))
+    return both
+
+
 EXPAND = r"(?i)\b(?:" + "|".join(sorted(ACRONYMS, key=lambda k: (-len(k), k))) + r")\b"
 SQL["acronym_expand"] = f"""WITH t AS (SELECT id, coalesce(question, '') AS q, regexp_extract_all(coalesce(question, ''), '{EXPAND}') AS f, string_split_regex(coalesce(question, ''), '{EXPAND}') AS g FROM query_logs),
 e AS (SELECT id, q, f, g, [upper(_w) for _w in f] AS u, [_w = upper(_w) OR NOT (lower(_w) IN ('an', 'ar', 'pet', 'spa', 'us')) for _w in f] AS ok FROM t),

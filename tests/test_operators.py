@@ -205,3 +205,86 @@ def test_top_k_is_cut_before_the_shuffle(spark):
     top = retrieve.top_ranked(scored, "query_id", "doc_id", "score", 5)
     plan = spark._jvm.PythonSQLUtils.explainString(top._jdf.queryExecution(), "simple")
     assert plan.count("WindowGroupLimit") == 2
+
+
+def test_dense_search_takes_any_ids_blocks_and_ties(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    points = np.round(rng.normal(size=(300, 6)), 1)
+    points[200:] = points[0]  # a third are copies
+    vectors = spark.createDataFrame([(f"v{i:03d}", [float(x) for x in p]) for i, p in enumerate(points)] + [("none", None)], "vec_id string, embedding array<double>").repartition(5)
+    asked = vectors.where("vec_id in ('v000', 'v007', 'v050', 'none')").select(F.col("vec_id").alias("query_id"), "embedding")
+    want = {}
+    for q in (0, 7, 50):
+        far = np.round(((points - points[q]) ** 2).sum(axis=1), 9)
+        want[f"v{q:03d}"] = [f"v{i:03d}" for i in sorted(range(300), key=lambda i: (far[i], i))[:20]]
+
+    def ranked(df):
+        out = {}
+        for r in df.orderBy("query_id", "rank").collect():
+            out.setdefault(r["query_id"], []).append(r["vec_id"])
+        return out
+
+    assert ranked(retrieve.dense_topk(vectors, asked, k=20)) == want
+    assert ranked(retrieve.dense_topk(vectors, asked, k=20, sent=7)) == want
+    index = retrieve.DenseIndex(vectors, cells=8)
+    assert ranked(index.topk(asked, k=20, probed=1.0)) == want
+    assert index.vectors.count() == 300
+    assert retrieve.DenseIndex(vectors.where("false"), cells=8).topk(asked, k=20).count() == 0
+    assert retrieve.dense_topk(vectors, asked.where("false"), k=20).count() == 0
+
+
+def test_the_sparse_index_is_kept_while_its_files_stay(spark, tmp_path):
+    import os
+    import time
+
+    path = str(tmp_path / "docs")
+    spark.createDataFrame([(1, "alpha beta"), (2, "alpha"), (3, None)], "doc_id long, text string").write.parquet(path)
+    first = retrieve.sparse_index(spark.read.parquet(path))
+    assert retrieve.sparse_index(spark.read.parquet(path)) is first and first.docs == 3 and first.mean == 1.0
+    time.sleep(1.1)
+    spark.createDataFrame([(1, "gamma")], "doc_id long, text string").write.mode("overwrite").parquet(path)
+    again = retrieve.sparse_index(spark.read.parquet(path))
+    assert again is not first and [r["term"] for r in again.weights.collect()] == ["gamma"]
+    plain = spark.createDataFrame([(1, "alpha")], "doc_id long, text string")
+    assert retrieve.sparse_index(plain) is not retrieve.sparse_index(plain)
+    assert os.path.exists(path)
+
+
+def test_busy_users_are_spread_and_counted_whole(spark):
+    from foliomine.operators import logs
+
+    day = "2024-01-0{} 00:00:00"
+    packs = spark.createDataFrame([(1, "hot", day.format(2), "2030-01-01 00:00:00"), (2, "idle", day.format(1), "2030-01-01 00:00:00")], "id long, user_email string, p string, e string").selectExpr("id", "user_email", "cast(p as timestamp_ntz) purchased_at", "cast(e as timestamp_ntz) expires_at")
+    asked = spark.createDataFrame([(i, "hot", day.format(1 + i % 3)) for i in range(300)] + [(900, None, day.format(3))], "id long, user_email string, c string").selectExpr("id", "user_email", "cast(c as timestamp_ntz) created_at")
+    got = {r["user_email"]: r["used"] for r in logs.used_since_purchase(packs, asked, "2024-06-01 00:00:00").collect()}
+    assert got == {"hot": 200, "idle": 0}
+
+
+def test_later_versions_win_whichever_batch_brings_them(spark, tmp_path):
+    from foliomine.streaming import records as streams
+
+    for n, rows in enumerate(([("a", 5, "new"), ("b", 1, "old")], [("a", 2, "late"), ("b", 1, "again")])):
+        spark.createDataFrame(rows, "id string, loaded_at int, v string").write.parquet(str(tmp_path / f"t/batch={n}"))
+    got = lambda path: {(r["id"], r["v"]) for r in streams.upserted_table(spark, str(path)).collect()}
+    assert got(tmp_path / "t") == {("a", "new"), ("b", "again")}
+    streams.compacted(spark, str(tmp_path / "t"), str(tmp_path / "c"))
+    assert got(tmp_path / "c") == {("a", "new"), ("b", "again")}
+
+
+def test_scans_in_one_pass_equal_the_plain_ones(spark):
+    import random
+
+    rng = random.Random(2)
+    rows = [(rng.choice(["x", "y", None]), rng.choice([1, 2, 3, None]), i, rng.choice(["item", "item", "text"]), rng.choice([None, None, f"h{i}"])) for i in range(200)]
+    df = spark.createDataFrame(rows, "doc string, page int, o int, kind string, head string")
+    got = scans.run_numbers(df, "doc", "page", ["o"], "kind", "item", "unit")
+    got = scans.running(got, "doc", "page", ["o"], {"n": F.lit(1)}, {"section": F.col("head")}).collect()
+    for doc in ("x", "y", None):
+        mine = sorted((r for r in got if r["doc"] == doc), key=lambda r: (r["page"] is None, r["page"] or 0, r["o"]))
+        unit, last, before = 0, None, None
+        for n, r in enumerate(mine):
+            unit += not (r["kind"] == "item" == before)
+            before, last = r["kind"], r["head"] or last
+            assert (r["n"], r["unit"], r["section"]) == (n, unit, last)
