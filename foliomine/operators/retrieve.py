@@ -1,7 +1,7 @@
 """Sparse, dense and fused ranking of records for many questions at once.
 
 Questions are a stated, bounded set; records are never joined to them as a product.  Sparse scores come from an index
-that is written once (postings in order of their terms, weights, the mean length) and kept for as long as the files it
+that is written once (a row of terms and counts for each record, weights, the mean length) and kept for as long as the files it
 was made from stay the same; dense scores from blocks of vectors held against all questions, with the best of each task
 kept before anything is shuffled.  Scores are ranked rounded to nine places, ties by ascending id.
 """
@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -56,25 +57,113 @@ def idf(freqs: DataFrame, n: int) -> DataFrame:
 
 
 class SparseIndex:
-    """``postings`` (term, key, tf, n_terms) in order of the terms, ``weights`` (term, df, idf), ``docs`` and ``mean``."""
+    """``records`` (key, n_terms, terms, tfs), one row a record, ``weights`` (term, df, idf), ``docs`` and ``mean``.
+
+    The index is cut by records and not by terms: a record's score for a question is the sum of what stands in one row,
+    so a task keeps the best of its records and nothing is shuffled but those.  No term, however common, is a group.
+    """
 
     def __init__(self, corpus: DataFrame, key: str, text: str) -> None:
         spark = corpus.sparkSession
-        path, words = scratch(spark, "postings"), scratch(spark, "weights")
-        once = corpus.select(F.col(key), tokens(F.col(text)).alias("t")).select(key, F.size("t").alias("n_terms"), F.explode("t").alias("term"))
-        counted = once.groupBy(key, "n_terms", "term").agg(F.count(F.lit(1)).alias("tf"))
-        # ranges of (term, record): a term of a third of all records is several files, and a file's least and greatest
-        # term tell whether it is read
-        counted.repartitionByRange("term", key).sortWithinPartitions("term", key).write.parquet(path)
-        self.postings = spark.read.parquet(path)
-        self.docs = corpus.count()
-        freqs = self.postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("tf").alias("n"))
-        freqs = freqs.withColumn("raw", F.log(F.lit(float(self.docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
-        freqs.write.parquet(words)
-        freqs = spark.read.parquet(words)
-        sums = freqs.agg(F.sum("n").alias("n"), F.avg("raw").alias("mean")).first()
+        self.key = key
+        path, words = scratch(spark, "records"), scratch(spark, "weights")
+        schema = f"{key} {dict(corpus.dtypes)[key]}, n_terms int, terms array<string>, tfs array<int>"
+
+        def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                lists = batch.column(1)
+                sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
+                coded = pc.dictionary_encode(lists.flatten())
+                width = len(coded.dictionary) + 1
+                owner = np.repeat(np.arange(batch.num_rows), sizes)
+                pairs, tf = np.unique(owner * width + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+                ends = np.concatenate([[0], np.cumsum(np.bincount(pairs // width, minlength=batch.num_rows))]).astype(np.int32)
+                terms = pa.ListArray.from_arrays(ends, coded.dictionary.take(pa.array(pairs % width)))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int32()), terms, pa.ListArray.from_arrays(ends, pa.array(tf, pa.int32()))], names=[key, "n_terms", "terms", "tfs"])
+
+        corpus.select(F.col(key), tokens(F.col(text)).alias("t")).mapInArrow(count, schema).write.parquet(path)
+        self.records = spark.read.parquet(path)
+        freqs = self.records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+        sums = self.records.agg(F.count(F.lit(1)).alias("docs"), F.sum("n_terms").alias("n")).first()
+        self.docs = sums["docs"]
         self.mean = float((sums["n"] or 0) / self.docs if self.docs else 0) or 1.0
-        self.weights = freqs.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * (sums["mean"] or 0.0))).otherwise(F.col("raw")).alias("idf"))
+        freqs.withColumn("raw", F.log(F.lit(float(self.docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).write.parquet(words)
+        freqs = spark.read.parquet(words)
+        mean = freqs.agg(F.avg("raw")).first()[0] or 0.0
+        self.weights = freqs.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
+
+    def asked(self, questions: DataFrame, qkey: str, qtext: str) -> DataFrame:
+        """``qkey, term, w``: the known terms of each question; repeated ones count again."""
+        terms = questions.select(qkey, F.explode(tokens(F.col(qtext))).alias("term")).groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("qtf"))
+        return cut(terms.join(self.weights, "term").select(qkey, "term", (F.col("qtf") * F.col("idf")).alias("w")))
+
+    def best(self, asked: DataFrame, k: int, qkey: str) -> DataFrame:
+        """``qkey, key, score``: of each task's records the k of best positive score for each question.
+
+        The terms asked for are sent in blocks of at most ``MAX_ASKED``, one pass over the records and one written
+        result each.
+        """
+        blocks = max(1, -(-asked.count() // MAX_ASKED))
+        found = None
+        for block in range(blocks):
+            part = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64(qkey), F.lit(blocks)) == block)
+            one = self._best(part.collect(), k, qkey, dict(asked.dtypes)[qkey])
+            one = cut(one) if blocks > 1 else one
+            found = one if found is None else found.unionByName(one)
+        return found
+
+    def _best(self, rows: list, k: int, qkey: str, qkind: str) -> DataFrame:
+        spark, key, mean = self.records.sparkSession, self.key, self.mean
+        schema = f"{qkey} {qkind}, {key} {dict(self.records.dtypes)[key]}, score double"
+        frame = spark.createDataFrame([], schema)
+        if not rows:
+            return frame
+        arrow = to_arrow_schema(frame.schema)
+        number = {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+        wanted: dict = {}
+        for r in sorted(rows, key=lambda r: number[r["term"]]):
+            wanted.setdefault(r[0], []).append((number[r["term"]], r["w"]))
+        ids, lists = list(wanted), [(np.array([t for t, _ in v]), np.array([w for _, w in v])) for v in wanted.values()]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            values = pa.array(list(number), pa.string())
+            near: list[tuple[np.ndarray, np.ndarray] | None] = [None] * len(ids)
+            for batch in batches:
+                n = batch.num_rows
+                if not n:
+                    continue
+                keys = np.array(batch.column(0).to_pylist())
+                sizes = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
+                term = pc.fill_null(pc.index_in(batch.column(2).flatten(), value_set=values), -1).to_numpy(zero_copy_only=False)
+                hit = np.flatnonzero(term >= 0)
+                doc, term = np.repeat(np.arange(n), sizes)[hit], term[hit]
+                tf = batch.column(3).flatten().to_numpy(zero_copy_only=False)[hit].astype(np.float64)
+                length = batch.column(1).to_numpy(zero_copy_only=False)[doc]
+                part = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / mean))
+                order = np.argsort(term, kind="stable")
+                doc, part = doc[order], part[order]
+                ends = np.searchsorted(term[order], np.arange(len(number) + 1))
+                for q, (terms, weights) in enumerate(lists):
+                    score = np.zeros(n)
+                    for t, w in zip(terms.tolist(), weights.tolist(), strict=True):
+                        # a record holds a term once, so places don't repeat
+                        score[doc[ends[t] : ends[t + 1]]] += w * part[ends[t] : ends[t + 1]]
+                    # scores are ranked as they are rounded; all that tie with the k-th are looked at
+                    rounded = np.round(score, 9)
+                    some = np.flatnonzero(rounded > 0)
+                    if len(some) > k:
+                        some = some[rounded[some] >= np.partition(rounded[some], len(some) - k)[len(some) - k]]
+                    if len(some):
+                        held = near[q]
+                        all_keys, all_scores = (keys[some], score[some]) if held is None else (np.concatenate([held[0], keys[some]]), np.concatenate([held[1], score[some]]))
+                        top = np.lexsort((all_keys, -np.round(all_scores, 9)))[:k]
+                        near[q] = all_keys[top], all_scores[top]
+            kept = [(q, x) for q, x in zip(ids, near, strict=True) if x is not None]
+            if kept:
+                columns = [[q for q, (x, _) in kept for _ in x], np.concatenate([x for _, (x, _) in kept]).tolist(), np.concatenate([f for _, (_, f) in kept])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, arrow.field(i).type) for i, c in enumerate(columns)], schema=arrow)
+
+        return self.records.select(key, "n_terms", "terms", "tfs").mapInArrow(run, schema)
 
 
 _kept: dict[tuple, tuple[tuple, SparseIndex]] = {}
@@ -108,13 +197,12 @@ def sparse_index(corpus: DataFrame, key: str = "doc_id", text: str = "text") ->
 def bm25_scores(corpus: DataFrame, questions: DataFrame, key: str = "doc_id", text: str = "text", qkey: str = "query_id", qtext: str = "query_text") -> DataFrame:
     """``qkey, key, score`` of every record that shares a term with a question; repeated question terms count again."""
     index = sparse_index(corpus, key, text)
-    asked = questions.select(qkey, F.explode(tokens(F.col(qtext))).alias("term")).groupBy(qkey, "term").agg(F.count(F.lit(1)).alias("qtf"))
-    asked = cut(asked.join(index.weights.select("term", "idf"), "term"))
-    # a hot term would gather a third of all postings in one task of a shuffled join: what is asked for is sent to the
-    # tasks once its size is checked, and joined by shuffle only beyond that
+    asked = index.asked(questions, qkey, qtext)
+    # what is asked for is sent to the tasks once its size is checked, and joined by shuffle only beyond that
     asked = F.broadcast(asked) if asked.count() <= MAX_ASKED else asked
-    part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.lit(index.mean)))
-    return index.postings.join(asked, "term").groupBy(qkey, key).agg(F.sum(part).alias("score"))
+    long = index.records.select(key, "n_terms", F.explode(F.arrays_zip("terms", "tfs")).alias("p")).select(key, "n_terms", F.col("p.terms").alias("term"), F.col("p.tfs").alias("tf"))
+    part = F.col("w") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("n_terms") / F.lit(index.mean)))
+    return long.join(asked, "term").groupBy(qkey, key).agg(F.sum(part).alias("score"))
 
 
 def top_ranked(scored: DataFrame, qkey: str, key: str, score: str, k: int, descending: bool = True) -> DataFrame:
@@ -127,8 +215,8 @@ def top_ranked(scored: DataFrame, qkey: str, key: str, score: str, k: int, desce
 
 def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int = RAW_K, key: str = "doc_id", text: str = "text", qkey: str = "query_id", qtext: str = "query_text") -> DataFrame:
     """``qkey, key, score, rank`` of the best k records per question, those without a shared term at score 0 included."""
-    found = bm25_scores(corpus, questions, key, text, qkey, qtext)
-    best = cut(top_ranked(found.where(F.round("score", 9) > 0), qkey, key, "score", k))
+    index = sparse_index(corpus, key, text)
+    best = cut(top_ranked(index.best(index.asked(questions, qkey, qtext), k, qkey), qkey, key, "score", k))
     full = best.groupBy(qkey).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k)
     short = cut(questions.select(qkey, qtext).join(full, qkey, "left_anti"))
     if short.isEmpty():
