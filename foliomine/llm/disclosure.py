@@ -273,8 +273,17 @@ def revealing_contexts(texts: DataFrame, terms: set[str] | None, listed: set[str
     return {r["context"] for r in rows}
 
 
-#: What an item of a form must hold, for the scan.
-SUSPECT = r"@|(?i)[\[({]\s*(?:at|arroba|chez)\s*[\])}]|(?:[0-9][^0-9\p{L}]{0,3}){6}|\p{Lu}{1,3}[0-9]{5}|\b(?:street|st|road|rd|lane|ln|close|avenue|ave|drive|court|place|square|way|terrace|crescent|gardens|grove|hill|row|walk|boulevard|blvd|mews|parade|box|postfach|apartado|postal|pocztowa|postale|rue|impasse|allée|chemin|quai|cours|route|calle|avenida|plaza|paseo|rua|travessa|praça|largo|camino|ronda|estrada|ulica)\b|\bc/|\b(?:av|ul|al|os)\.|(?:straße|strasse|str\.|gasse|weg|platz|allee|ring|ufer|damm)\s+[0-9]"
+#: Words of streets that a number stands before.
+_AFTER_NUMBER = "street|st|road|rd|lane|ln|close|avenue|ave|drive|court|place|square|way|terrace|crescent|gardens|grove|hill|row|walk|boulevard|blvd|mews|parade|rue|impasse|allée|chemin|quai|cours|route"
+#: What an item of a form must hold, for the scan; every branch begins with a sign that is rare in running text: the
+#: sign of a mailbox, six digits, a number before a word of streets, after a capital word, or after the end of a word for
+#: boxes.
+SUSPECT = (
+    r"@|[\[({]\s*(?i:at|arroba|chez)\s*[\])}]|[0-9](?:[^0-9\p{L}]{0,3}[0-9]){5}|[0-9]{5}(?<=\p{Lu}[0-9]{5})"
+    rf"|[0-9](?<![0-9][0-9])[0-9]*+[a-z]?,?\s(?:\S++\s++){{0,3}}?(?i:{_AFTER_NUMBER})\b"
+    r"|\p{Lu}[\p{L}'’\-]{1,40}+,?\s+(?:n\.?\s?[ºo°]\.?\s*)?[0-9]"
+    r"|[0-9](?<=(?i:box|postfach|apartado|correos|postal|postale|pocztowa)\s{0,2}(?:(?i:nr|no)\.?\s{0,2})?[0-9])"
+)
 
 
 def harmless_forms(logs: DataFrame, fields: tuple[str, ...], answer: str = "answer") -> set[str]:
