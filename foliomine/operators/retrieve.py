@@ -89,7 +89,10 @@ class SparseIndex:
         self.mean = float((sums["n"] or 0) / self.docs if self.docs else 0) or 1.0
         freqs.withColumn("raw", F.log(F.lit(float(self.docs)) - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)).write.parquet(words)
         freqs = spark.read.parquet(words)
-        mean = freqs.agg(F.avg("raw")).first()[0] or 0.0
+        ends = freqs.agg(F.avg("raw").alias("mean"), F.min("raw").alias("least")).first()
+        mean = ends["mean"] or 0.0
+        #: The least weight: negative weights are raised to a share of the mean, so it is below 0 only with that.
+        self.least = EPSILON * mean if (ends["least"] or 0.0) < 0 else 0.0
         self.weights = freqs.select("term", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
     def asked(self, questions: DataFrame, qkey: str, qtext: str) -> DataFrame:
@@ -221,9 +224,11 @@ def bm25_topk(corpus: DataFrame, questions: DataFrame, k: int = RAW_K, key: str
     short = cut(questions.select(qkey, qtext).join(full, qkey, "left_anti"))
     if short.isEmpty():
         return best
-    # a question with fewer than k positive records gets records of score 0, the lowest ids first: those among the
-    # lowest k + m that it has no score for.  Only where weights are negative, in a corpus of few words, is m over k
-    scored = cut(bm25_scores(corpus, short, key, text, qkey, qtext))
+    # a question with fewer than k positive records has them all in ``best``; it gets records of score 0, the lowest ids
+    # first: those among the lowest k + m that it has no score for.  Only where weights are negative, in a corpus of few
+    # words, are there other scores, and m may be over k
+    positive = best.join(short.select(qkey).distinct(), qkey, "left_semi").select(qkey, key, "score")
+    scored = cut(bm25_scores(corpus, short, key, text, qkey, qtext)) if index.least < 0 else positive
     most = scored.groupBy(qkey).agg(F.count(F.lit(1)).alias("m")).agg(F.max("m")).first()[0] or 0
     kind = dict(corpus.dtypes)[key]
     heads = [r[0] for r in corpus.where(F.col(key).isNotNull()).select(key).orderBy(key).limit(k + most).collect()]
