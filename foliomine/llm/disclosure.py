@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from foliomine.llm.frames import arrow_map
+from foliomine.session import cut
 
 TERM_BITS = 5.0
 FORM_BITS = 1.0
@@ -239,6 +240,7 @@ def registered(logs: DataFrame, name: str = "user_name", answer: str = "answer")
             text = F.replace(text, F.coalesce(F.nullif(F.lower(asked), F.lit("")), F.lit("\n\n")), F.lit(" "))
     told = logs.where(F.col(answer).isNotNull()).select(text.alias("_told"))
     in_text = told.select(F.explode(words(F.col("_told"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("told"))
+    in_text = cut(in_text)  # read twice, and a row for each word
     sums = names.agg(F.count(F.lit(1))).first()[0], in_text.agg(F.sum("told")).first()[0] or 0
     both = in_names.join(in_text, "word", "left").withColumn("told", F.coalesce("told", F.lit(0)))
     bits = F.log2((F.col("named") + 0.5) / (2 * sums[0] + 1)) - F.log2((F.col("told") + 0.5) / (sums[1] + 1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from foliomine.session import table
@@ -167,8 +167,9 @@ def p8_mixed(spark: SparkSession, folder: str) -> DataFrame:
     langs = [r[0] for r in docs.select("language").distinct().orderBy("language").limit(1000).collect()]
     packed = pack(docs, "doc_id", "text", "language", targets=dict.fromkeys(langs, 1.0), shard_tokens=250_000, window=8)
     tokens = packed.join(docs.select(F.col("doc_id").alias("item_id"), "language"), "item_id").groupBy("shard", "window", "language").agg(F.sum("n_tokens").alias("n_tokens"))
-    whole = tokens.groupBy("shard", "window").agg(F.sum("n_tokens").alias("all_tokens"))
-    return tokens.join(whole, ["shard", "window"]).select("shard", "window", "language", "n_tokens", F.round(F.col("n_tokens") / F.greatest("all_tokens", F.lit(1)) - 1.0 / max(1, len(langs)), 4).alias("off_target"))
+    # the languages of one window are few rows
+    whole = F.sum("n_tokens").over(Window.partitionBy("shard", "window"))
+    return tokens.select("shard", "window", "language", "n_tokens", F.round(F.col("n_tokens") / F.greatest(whole, F.lit(1)) - 1.0 / max(1, len(langs)), 4).alias("off_target"))
 
 
 def p9_found(spark: SparkSession, folder: str) -> DataFrame:

@@ -164,3 +164,31 @@ def test_encoding_frames(spark):
     fixed = {r["row_id"]: r["text"] for r in E.restore(df, WORDS).collect()}
     assert fixed == {1: f"Plain. {CLEAN['fr']}", 6: "généralement b"}
     assert E.garbled(df.where("doc_id < 0"), WORDS).count() == 0
+
+
+def test_what_earlier_shards_lacked_is_made_up_for_over_all_windows():
+    """A shard that starts 30 windows behind in a source gives it more in every window, and all of the shortfall counts."""
+    from collections import Counter
+
+    items = [("a" if i % 2 else "b", 100, i) for i in range(4_000)]
+    plain = P.pack_shard(items, {"a": 0.5, "b": 0.5}, {}, 1_000, 10)
+    behind = P.pack_shard(items, {"a": 0.5, "b": 0.5}, {"a": 60_000.0, "b": -60_000.0}, 1_000, 10)
+    assert sorted(k for k, *_ in plain) == sorted(k for k, *_ in behind) == list(range(4_000))
+
+    def shares(got):
+        size, of_a = Counter(), Counter()
+        for key, n, window, _ in got:
+            size[window] += n
+            of_a[window] += n * (key % 2)
+        return [of_a[w] / size[w] for w in sorted(size)]
+
+    assert all(abs(s - 0.5) < 0.1 for s in shares(plain)[:-1])
+    early = shares(behind)[:10]
+    assert all(0.55 < s < 0.85 for s in early)
+
+
+def test_null_and_repeated_ids_are_spread_over_shards(spark):
+    rows = [(None if i % 2 else 7, "one two three four five " * 20, "s") for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = P.pack(df, "doc_id", "text", "source", shard_tokens=4_000).groupBy("shard").count().collect()
+    assert sum(r["count"] for r in got) == 400 and len(got) > 5 and max(r["count"] for r in got) < 150
