@@ -1,8 +1,9 @@
 """Problem 1: defective question-answer pairs, by a conditional random field over the clauses of the answer.
 
 Each clause is tagged ``answer``, ``refusal``, ``echo``, ``foreign`` or ``unfinished``; the share of the answer that
-each tag covers gives the pair's defect.  The field is trained on a sample of at most ``SAMPLE_ROWS`` logs (taken by a
-hash of the id, so it is spread over all rows).  The sample teaches
+each tag covers gives the pair's defect.  All logs teach it: what is counted (languages of words, ends of clauses, frames
+of refusals, closing clauses) is counted over all of them, and the field is trained on all of them, in shards of about
+``SAMPLE_ROWS`` logs by a hash of the row; the shards' weights are averaged.  The logs teach
 
 * sound answers, taken as they are, and spoilt on purpose: cut, replaced by the question or by another language's answer;
 * refusals: answers of nothing but clauses with several cues of refusing and of clauses that over many different
@@ -15,17 +16,19 @@ null question has no language and nothing to repeat.  A pair has at most one def
 
 from __future__ import annotations
 
+import hashlib
 import random
 import re
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Container, Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomine.llm.frames import arrow_map
+from foliomine.session import cut
 
 SAMPLE_ROWS = 6000
 TAGS = ("answer", "refusal", "echo", "foreign", "unfinished")
@@ -107,13 +110,13 @@ def _key(text: str) -> str:
 
 def only_repeats(answer: str, *questions: str | None) -> bool:
     """Whether the answer is the question, once or more often, with at most labels around it."""
-    said = [_key(_LABEL.sub("", part)) for part in re.split(r"\n+", answer)]
+    lines = re.split(r"\n+", answer)
     whole = _key(_LABEL.sub("", answer))
     for question in questions:
         asked = _key(question or "")
         if not asked:
             continue
-        if whole == asked or (said and all(s in ("", asked) for s in said)):
+        if whole == asked or all(_key(_LABEL.sub("", line)) in ("", asked) for line in lines):
             return True
         rest = re.sub(rf"\b{LABELS}\b", " ", whole.replace(asked, " "))
         if asked in whole and not rest.strip() and len(asked) > 5:
@@ -126,6 +129,31 @@ def clauses(answer: str) -> list[str]:
     return [c.strip() for c in _CLAUSE.split(_CITE.sub(" ", answer)) if _WORD.search(c) or c.strip() in ("|",)]
 
 
+def key64(text: str) -> int:
+    """A number of 64 bits for a text, the same in every process."""
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little")
+
+
+#: An odd number by which the first key of a pair is multiplied.
+MIXED = 0x9E3779B97F4A7C15
+
+
+class Keys:
+    """What is known of texts, by their keys: nine bytes each."""
+
+    def __init__(self, keys: np.ndarray, values: np.ndarray | None = None) -> None:
+        order = np.argsort(keys)
+        self.keys = keys[order]
+        self.values = np.zeros(len(keys), np.uint8) if values is None else values[order].astype(np.uint8)
+
+    def get(self, key: int) -> int | None:
+        at = int(self.keys.searchsorted(np.uint64(key)))
+        return int(self.values[at]) if at < len(self.keys) and int(self.keys[at]) == key else None
+
+    def __contains__(self, text: str) -> bool:
+        return self.get(key64(text)) is not None
+
+
 class Languages:
     """Languages by the words of the reference list and common words."""
 
@@ -141,6 +169,7 @@ class Languages:
             shared = len(langs)
             for lang in langs:
                 langs[lang] /= shared
+        self.learnt: Keys | None = None
         self.cache: dict[str, dict[str, float]] = {}
         self.asked = {w: lang for lang, listed in ASKED.items() for w in listed.split()}
 
@@ -164,7 +193,10 @@ class Languages:
                 self.cache.clear()
             got = {}
             for w in re.split("['’]", word):
-                for lang, weight in self.weight.get(w, {}).items():
+                known = self.weight.get(w)
+                if known is None and self.learnt is not None and (code := self.learnt.get(key64(w))) is not None:
+                    known = {LANGS[code]: 1.0}
+                for lang, weight in (known or {}).items():
                     got[lang] = got.get(lang, 0.0) + weight
                 for c in "" if w.isascii() else w:
                     lang, weight = ("ru", 1.0 / len(w)) if "а" <= c <= "я" else ("pt", 1.0) if c in "ãõ" else ("es", 1.0) if c == "ñ" else ("de", 1.0) if c in "ßäöü" else ("pl", 1.0) if c in "łżźćśęą" else ("fr", 0.7) if c in "èêëœùûî" else ("", 0.0)
@@ -232,6 +264,39 @@ class Ends:
             return self.ends[pair] / (self.all[pair] + 1)
         return self.ends[words[-1]] / (self.all[words[-1]] + 3)
 
+    def known(self, word: str) -> bool:
+        """Whether a word stands inside of clauses three times at least."""
+        return self.inside[word] >= 3
+
+
+#: Nothing but the side of these limits on which a likelihood lies is asked for; a value for each range between them.
+LIMITS, LIKELY = (0.05, 0.25, 0.3, 0.5), (0.0, 0.1, 0.28, 0.4, 0.9)
+
+
+def _range(p: Column) -> Column:
+    """The number of the range a likelihood lies in."""
+    a, b, c, d = (F.lit(x) for x in LIMITS)
+    return F.when(p < a, 0).when(p < b, 1).when(p <= c, 2).when(p < d, 3).otherwise(4)
+
+
+class CountedEnds:
+    """``Ends`` from counts over a table: the range of each word's likelihood (and 8 if the word is known), and that of
+    each pair of words for which it is another than the last word's."""
+
+    def __init__(self, words: Keys, pairs: Keys) -> None:
+        self.words, self.pairs = words, pairs
+
+    def likely(self, clause: str) -> float:
+        words = Ends._words(clause)
+        if not words:
+            return 0.0
+        last = key64(words[-1])
+        got = self.pairs.get((key64(words[-2] if len(words) > 1 else "") * MIXED + last) % (1 << 64))
+        return LIKELY[(self.words.get(last) or 0) & 7 if got is None else got]
+
+    def known(self, word: str) -> bool:
+        return (self.words.get(key64(word)) or 0) >= 8
+
 
 class Words(dict):
     """Numbers of words, given as they are met; what is known of a word stands at its number in the arrays."""
@@ -263,6 +328,13 @@ class Words(dict):
         self.size = 0
         self.scores[:] = 0
 
+    def leading(self, texts: list[str]) -> list[str | None]:
+        """The likeliest language of each text."""
+        found = [list(map(self.__getitem__, _WORD.findall(text.lower()))) for text in texts]
+        size = np.array([len(x) for x in found], np.int64)
+        of, _ = _leading(_sums(self.scores[np.array([n for x in found for n in x], np.int64)], size), size)
+        return [LANGS[n] if n >= 0 else None for n in of.tolist()]
+
 
 def _sums(values: np.ndarray, sizes: np.ndarray, how=np.add) -> np.ndarray:
     """The sum (or other reduction) of each run of the given sizes; 0 for empty runs."""
@@ -303,7 +375,7 @@ class Rows:
 class Featuriser:
     """The features of each clause of each answer, as numbers below ``HASHED``."""
 
-    def __init__(self, languages: Languages, ends: Ends) -> None:
+    def __init__(self, languages: Languages, ends: Ends | CountedEnds) -> None:
         self.languages, self.ends = languages, ends
         self.groups = sorted(CUES)
         cue: dict[str, int] = {}
@@ -403,7 +475,7 @@ class Featuriser:
         if not ended:
             p = self.ends.likely(clause)
             if words:
-                names.append("known" if self.ends.inside[words[-1]] >= 3 or words[-1].isdigit() else "rare")
+                names.append("known" if self.ends.known(words[-1]) or words[-1].isdigit() else "rare")
             names.append(f"end{0 if p < 0.05 else 1 if p < 0.25 else 2 if p < 0.5 else 3}")
         rows = [p for p in parts if p.startswith("|") or p.endswith("|")]
         if rows and clause in rows:
@@ -518,11 +590,16 @@ class Field:
 
 def _groups(clause: str) -> int:
     """The number of cue groups in a clause."""
-    words = set(_WORD.findall(clause.lower()))
-    return sum(1 for listed in _CUE_SETS.values() if listed & words)
+    mask = 0
+    for w in _WORD.findall(clause.lower()):
+        mask |= _CUE_MASKS.get(w, 0)
+    return mask.bit_count()
 
 
-_CUE_SETS = {g: frozenset(listed.split()) for g, listed in CUES.items()}
+_CUE_MASKS: dict[str, int] = {}
+for _i, _listed in enumerate(CUES.values()):
+    for _w in _listed.split():
+        _CUE_MASKS[_w] = _CUE_MASKS.get(_w, 0) | 1 << _i
 
 
 def refusals(rng: random.Random, n: int) -> list[str]:
@@ -537,42 +614,64 @@ def refusals(rng: random.Random, n: int) -> list[str]:
     return out
 
 
-def _last(answer: str) -> str:
+def _last(parts: list[str]) -> str:
     """The last clause with numbers left open."""
-    return " ".join("#" if w.isdigit() else w for w in _WORD.findall((clauses(answer) or [""])[-1].lower()))
+    return " ".join("#" if w.isdigit() else w for w in _WORD.findall((parts or [""])[-1].lower()))
 
 
-def corpus_refusals(logs: list[tuple[str | None, str | None, str | None]]) -> list[tuple[str | None, str | None, str, list[str]]]:
-    """The logs whose answer surely refuses: a clause with three cues, and no clause that also stands beside sound ones.
+def _framed(question: str, resolved: str | None, parts: list[str]) -> tuple[list[str], list[bool], bool]:
+    """The frame of each clause, whether it has three cues, and whether the answer seems to refuse.
 
-    A clause is taken by its frame: numbers and the question's own words left open.  A frame surrounds refusals if it
-    was seen with two different questions and next to clauses with cues four times out of five.
+    A clause's frame leaves numbers and the question's own words open.
     """
+    own = {w for w in _WORD.findall(f"{question} {resolved or ''}".lower()) if len(w) > 3}
+    frames = [" ".join("#" if w.isdigit() else "_" if w in own else w for w in _WORD.findall(p.lower())) for p in parts]
+    groups = [_groups(p) for p in parts]
+    cued = [g >= 3 for g in groups]
+    return frames, cued, any(cued) and not any(g < 2 and len(f.split()) > 9 for f, g in zip(frames, groups, strict=True))
+
+
+def _surrounding(pairs: list[tuple[str, str | None, str, list[str]]]) -> set[str]:
+    """Frames seen with two different questions and next to clauses with cues four times out of five."""
     seen: dict[str, list[int]] = {}
     asked: dict[str, set[str]] = {}
-    cases = []
-    for question, resolved, answer in logs:
-        if is_empty(answer) or not question or only_repeats(answer, question, resolved):
-            continue
-        parts = clauses(answer)
-        own = {w for w in _WORD.findall(f"{question} {resolved or ''}".lower()) if len(w) > 3}
-        frames = [" ".join("#" if w.isdigit() else "_" if w in own else w for w in _WORD.findall(p.lower())) for p in parts]
-        cued = [_groups(p) >= 3 for p in parts]
-        beside = any(cued) and not any(g < 2 and len(f.split()) > 9 for f, g in zip(frames, map(_groups, parts), strict=True))
+    for question, resolved, _, parts in pairs:
+        frames, _, beside = _framed(question, resolved, parts)
         for frame in set(frames):
             got = seen.setdefault(frame, [0, 0])
             got[0] += beside
             got[1] += 1
             asked.setdefault(frame, set()).add(question)
-        if beside:
-            cases.append((question, resolved, answer, parts, frames, cued))
-    around = {f for f, (a, n) in seen.items() if len(asked[f]) >= 2 and a >= 0.8 * n}
-    return [c[:4] for c in cases if all(k or f in around for f, k in zip(c[4], c[5], strict=True))]
+    return {f for f, (a, n) in seen.items() if len(asked[f]) >= 2 and a >= 0.8 * n}
+
+
+def _pairs(logs: list[tuple[str | None, str | None, str | None]]) -> list[tuple[str, str | None, str, list[str]]]:
+    """The logs with a question and an answer that isn't only the question, and the answer's clauses."""
+    return [(q, r, a, clauses(a)) for q, r, a in logs if q and not is_empty(a) and not only_repeats(a, q, r)]
+
+
+def _refused(pairs: list[tuple[str, str | None, str, list[str]]], around: Container[str]) -> list[tuple[str, str | None, str, list[str]]]:
+    """The pairs whose answer surely refuses."""
+    out = []
+    for question, resolved, answer, parts in pairs:
+        if any(_groups(p) >= 3 for p in parts):
+            frames, cued, beside = _framed(question, resolved, parts)
+            if beside and all(k or f in around for f, k in zip(frames, cued, strict=True)):
+                out.append((question, resolved, answer, parts))
+    return out
+
+
+def corpus_refusals(logs: list[tuple[str | None, str | None, str | None]]) -> list[tuple[str, str | None, str, list[str]]]:
+    """The logs whose answer surely refuses: a clause with three cues, and no clause that also stands beside sound ones.
+
+    A clause without is taken by its frame, which must be one that surrounds refusals.
+    """
+    pairs = _pairs(logs)
+    return _refused(pairs, _surrounding(pairs))
 
 
 def teach(logs: list[tuple[str | None, str | None, str | None]], words: list[tuple[str, str]], seed: int = SEED) -> tuple[Featuriser, Field]:
-    """Fit the field and the ends of clauses on a sample of (question, resolved question, answer)."""
-    rng = random.Random(seed)
+    """Fit the field and the ends of clauses on a list of (question, resolved question, answer)."""
     languages, ends = Languages(words), Ends()
     told = []
     for question, _, answer in logs:
@@ -582,36 +681,49 @@ def teach(logs: list[tuple[str | None, str | None, str | None]], words: list[tup
             if lang and lang == of and lead > 0.1:
                 told += [(lang, question), (lang, answer)]
     languages.learn(told)
-    refused = corpus_refusals(logs)
-    skip = {(q, a) for q, _, a, _ in refused}
-    sound: dict[str, list] = {}
-    short: list = []
     # a clause that closes the answers to many different questions is complete, with or without a full stop
     closing: dict[str, set[str]] = {}
     for question, _, answer in logs:
         if question and not is_empty(answer):
-            closing.setdefault(_last(answer), set()).add(question)
-    for question, resolved, answer in logs:
-        if is_empty(answer) or not question or only_repeats(answer, question, resolved):
-            continue
-        parts = clauses(answer)
+            closing.setdefault(_last(clauses(answer)), set()).add(question)
+    pairs = _pairs(logs)
+    for *_, parts in pairs:
         for part in parts:
             ends.learn(part)
+    make = Featuriser(languages, ends)
+    return make, fit(make, *examples(logs, make, {c for c, asked in closing.items() if len(asked) >= 5}, _surrounding(pairs), seed))
+
+
+def fit(make: Featuriser, cases: list[tuple[str | None, str | None, str, list[str]]], gold: list[list[int]]) -> Field:
+    """The field trained on the cases."""
+    field = Field()
+    field.train(list(zip(make.rows(cases).split(), gold, strict=True)))
+    return field
+
+
+def examples(logs: list[tuple[str | None, str | None, str | None]], make: Featuriser, closing: Container[str], around: Container[str], seed: int) -> tuple[list[tuple[str | None, str | None, str, list[str]]], list[list[int]]]:
+    """The cases that logs teach, and their tags: sound answers as they are and spoilt, refusals found and composed."""
+    rng = random.Random(seed)
+    languages, ends = make.languages, make.ends
+    pairs = _pairs(logs)
+    refused = _refused(pairs, around)
+    skip = {(q, a) for q, _, a, _ in refused}
+    sound: dict[str, list] = {}
+    short: list = []
+    asked_in, said_in = make.words.leading([p[0] for p in pairs]), make.words.leading([p[2] for p in pairs])
+    for (question, resolved, answer, parts), lang, of in zip(pairs, asked_in, said_in, strict=True):
         if (question, answer) in skip:
             continue
-        lang, _ = languages.of(question)
-        of, _ = languages.of(answer)
         groups = [_groups(p) for p in parts]
         content = sum(len(p) for p, g in zip(parts, groups, strict=True) if g < 2 and len(_WORD.findall(p)) > 6)
         brief = len(_WORD.findall(answer)) <= 3 and max(groups, default=0) < 2
         tail = _CITE.sub(" ", answer).rstrip()
         whole = bool(_END.search(tail)) or tail.endswith("|") and not tail.endswith("\n|") or bool(re.search(r"\n\d+\. .+\Z", tail)) and ends.likely(parts[-1]) > 0.3
-        whole = whole or len(closing[_last(answer)]) >= 5
+        whole = whole or _last(parts) in closing
         if brief and parts:
             short.append((question, resolved, answer, parts))
         elif lang and of and (of == lang or of in languages.requested(question)) and parts and (max(groups) < 2 or content > 60) and whole:
             sound.setdefault(of, []).append((question, resolved, answer, parts))
-    make = Featuriser(languages, ends)
     cases: list[tuple[str | None, str | None, str, list[str]]] = []
     gold: list[list[int]] = []
     tag = {t: i for i, t in enumerate(TAGS)}
@@ -665,9 +777,7 @@ def teach(logs: list[tuple[str | None, str | None, str | None]], words: list[tup
             text = f"{rng.choice(MODEST)} {a}"
             kept = clauses(text)
             add(q, r, text, kept, ["answer"] * len(kept))
-    field = Field()
-    field.train(list(zip(make.rows(cases).split(), gold, strict=True)))
-    return make, field
+    return cases, gold
 
 
 def verdict(question: str | None, resolved: str | None, answer: str, parts: list[str], tags: list[int], languages: Languages) -> tuple[str | None, dict[str, float]]:
@@ -704,7 +814,7 @@ def defect(question: str | None, resolved: str | None, answer: str | None, make:
 
 
 def sample(logs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str | None, str | None, str | None]]:
-    """At most ``rows`` logs, those with the least hash of the id, to fit the field on.
+    """At most ``rows`` logs, those with the least hash of the id, to look at; nothing is fitted on them.
 
     A threshold on the hash, set from the number of logs, keeps what reaches the driver near ``rows`` whatever the input.
     """
@@ -718,9 +828,207 @@ def sample(logs: DataFrame, rows: int = SAMPLE_ROWS) -> list[tuple[str | None, s
     return [(r["question"], r["resolved_question"], r["answer"]) for r in found]
 
 
+class Counted(Words):
+    """Numbers of words, with their keys (numbers are one word) and whether the logs may tell their language."""
+
+    def __init__(self, languages: Languages) -> None:
+        super().__init__(languages, {})
+        self.keys: list[int] = []
+        self.fresh: list[bool] = []
+
+    def __missing__(self, word: str) -> int:
+        n = super().__missing__(word)
+        self.keys.append(key64("#" if word.isdigit() else word))
+        self.fresh.append(word not in self.languages.weight and not word.isdigit())
+        return n
+
+    def forget(self) -> None:
+        super().forget()
+        self.keys, self.fresh = [], []
+
+
+#: What is counted: texts of a language that hold a word; words and pairs of words at all, at the end of a clause and
+#: (words) inside; the last clauses of answers, by question; frames beside cues, at all, and beside cues without one.
+IN_LANGUAGE, WORD, PAIR, LAST, FRAME = range(5)
+COUNTS = "kind byte, key long, sub long, n0 long, n1 long, n2 long, lo long, hi long"
+
+
+def _totals(kind: int, keys: np.ndarray, subs: np.ndarray, *counts: np.ndarray, asked: np.ndarray | None = None) -> dict[str, np.ndarray]:
+    """Rows of ``COUNTS`` with the counts of equal keys added up; ``asked`` keeps its least and greatest."""
+    order = np.lexsort((subs, keys))
+    keys, subs = keys[order], subs[order]
+    starts = np.flatnonzero(np.r_[True, (keys[1:] != keys[:-1]) | (subs[1:] != subs[:-1])]) if len(keys) else np.zeros(0, np.int64)
+
+    def of(values: np.ndarray | None, how: np.ufunc = np.add) -> np.ndarray:
+        return np.zeros(len(starts), np.int64) if values is None or not len(starts) else how.reduceat(values[order].astype(np.int64), starts)
+
+    own = (*counts, None, None, None)
+    return {"kind": np.full(len(starts), kind, np.int8), "key": keys[starts].view(np.int64), "sub": subs[starts].view(np.int64), "n0": of(own[0]), "n1": of(own[1]), "n2": of(own[2]), "lo": of(asked, np.minimum), "hi": of(asked, np.maximum)}
+
+
+def tally(logs: list[tuple[str | None, str | None, str | None]], words: Counted) -> dict[str, np.ndarray]:
+    """The counts of a batch of (question, resolved question, answer), as ``COUNTS``."""
+    if words.size > 300_000:
+        words.forget()
+    number = words.__getitem__
+    texts: list[int] = []
+    sizes: list[int] = []
+    spoken: list[int] = []
+    spoken_sizes: list[int] = []
+    ended: list[bool] = []
+    closes: list[tuple[int, int, int]] = []
+    framed: list[tuple[int, int, int, int]] = []
+    for question, resolved, answer in logs:
+        if not question or is_empty(answer):
+            continue
+        for text in (question, answer):
+            found = _WORD.findall(text.lower())
+            texts += map(number, found)
+            sizes.append(len(found))
+        parts, asked = clauses(answer), key64(question)
+        closes.append((key64(_last(parts)), asked, not _END.search(_CITE.sub(" ", answer).rstrip())))
+        if only_repeats(answer, question, resolved):
+            continue
+        for part in parts:
+            found = _WORD.findall(part.lower())
+            spoken += map(number, found)
+            spoken_sizes.append(len(found))
+            ended.append(bool(_END.search(part)))
+        frames, cued, beside = _framed(question, resolved, parts)
+        # a frame counts once an answer; it is asked for if one of its clauses is without cues
+        bare = {f for f, k in zip(frames, cued, strict=True) if beside and not k}
+        framed += [(key64(f), asked, beside, f in bare) for f in set(frames)]
+    keys = np.array(words.keys, np.uint64)
+    fresh = np.array(words.fresh, bool)
+    # words of the texts whose question and answer surely are of one language
+    ids, size = np.array(texts, np.int64), np.array(sizes, np.int64)
+    of, lead = _leading(_sums(words.scores[ids], size), size)
+    told = np.repeat((of[::2] >= 0) & (of[::2] == of[1::2]) & (lead[::2] > 0.1), 2)
+    text_of = np.repeat(np.arange(len(size)), size)
+    chosen = told[text_of] & fresh[ids] if len(ids) else np.zeros(0, bool)
+    once = np.unique(text_of[chosen] * (words.size + 1) + ids[chosen])
+    told_of, told_id = once // (words.size + 1), once % (words.size + 1)
+    out = [_totals(IN_LANGUAGE, keys[told_id], of[told_of].astype(np.uint64), np.ones(len(once)))]
+    # words and pairs of words of the clauses
+    size = np.array(spoken_sizes, np.int64)
+    word = keys[np.array(spoken, np.int64)]
+    full = size > 0
+    final = np.zeros(len(word), bool)
+    final[(np.cumsum(size) - 1)[full]] = True
+    first = np.zeros(len(word), bool)
+    first[(np.cumsum(size) - size)[full]] = True
+    before = np.where(first, np.uint64(key64("")), np.roll(word, 1))
+    inside = ~final | np.repeat(np.array(ended, bool), size)
+    nothing = np.zeros(len(word), np.uint64)
+    out.append(_totals(WORD, word, nothing, np.ones(len(word)), final, inside))
+    out.append(_totals(PAIR, before * np.uint64(MIXED) + word, word, np.ones(len(word)), final))
+    last = np.array(closes, np.uint64).reshape(-1, 3)
+    out.append(_totals(LAST, last[:, 0], last[:, 1], last[:, 2]))
+    frame = np.array(framed, np.uint64).reshape(-1, 4)
+    out.append(_totals(FRAME, frame[:, 0], np.zeros(len(frame), np.uint64), frame[:, 2], np.ones(len(frame)), frame[:, 3], asked=frame[:, 1].astype(np.int64)))
+    return {name: np.concatenate([o[name] for o in out]) for name in out[0]}
+
+
+def _keys(df: DataFrame) -> Keys:
+    """The keys, and values if there are any, of a table."""
+    got = df.toArrow()
+    values = got.column("value").to_numpy().astype(np.uint8) if "value" in got.column_names else None
+    return Keys(np.ascontiguousarray(got.column("key").to_numpy()).astype(np.int64).view(np.uint64), values)
+
+
+def known(logs: DataFrame, words: list[tuple[str, str]]) -> tuple[Featuriser, Keys, Keys]:
+    """What is counted over all logs: languages and ends in a featuriser, closing clauses, frames around refusals."""
+    languages = Languages(words)
+
+    def kernel(batches: Iterator[dict]) -> Iterator[dict]:
+        own = Counted(languages)
+        for b in batches:
+            yield tally(list(zip(b["question"], b["resolved_question"], b["answer"], strict=True)), own)
+
+    kind, n0, n1, n2 = F.col("kind"), F.col("n0"), F.col("n1"), F.col("n2")
+    summed = arrow_map(logs.select("question", "resolved_question", "answer"), kernel, COUNTS).groupBy("kind", "key", "sub").agg(*[F.sum(n).alias(n) for n in ("n0", "n1", "n2")], F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    asked = (kind == PAIR) & (n0 >= 8) | (kind == WORD) & ((n1 > 0) | (n2 >= 3)) | (kind == FRAME) & (n2 > 0) & (F.col("lo") != F.col("hi")) & (n0 >= F.lit(0.8) * n1) | kind.isin(IN_LANGUAGE, LAST)
+    counted = cut(summed.where(asked))
+    told = counted.where(kind == IN_LANGUAGE).groupBy("key").agg(F.max("n0").alias("n"), F.sum("n0").alias("all"), F.max_by("sub", "n0").alias("value"))
+    languages.learnt = _keys(told.where((F.col("n") >= 3) & (F.col("n") >= F.lit(0.95) * F.col("all"))).select("key", "value"))
+    alone = counted.where(kind == WORD).select("key", _range(n1 / (n0 + 3)).alias("value"), (n2 >= 3).alias("met"))
+    pairs = counted.where(kind == PAIR).select("key", "sub", _range(n1 / (n0 + 1)).alias("value"))
+    other = pairs.join(alone.select(F.col("key").alias("sub"), F.col("value").alias("single")), "sub", "left").where(F.col("value") != F.coalesce("single", F.lit(0)))
+    ends = CountedEnds(_keys(alone.select("key", (F.col("value") + F.when(F.col("met"), 8).otherwise(0)).alias("value")).where("value > 0")), _keys(other.select("key", "value")))
+    closing = counted.where(kind == LAST).groupBy("key").agg(F.count("*").alias("n"), F.sum("n0").alias("open")).where("n >= 5 and open > 0")
+    return Featuriser(languages, ends), _keys(closing.select("key")), _keys(counted.where(kind == FRAME).select("key"))
+
+
+#: Characters at which a shard is closed whatever its rows; parts of one by which weights are added up, so that their sum
+#: has no order.
+SHARD_CHARS, UNIT = 32 << 20, 1 << 20
+
+
+def shards(batches: Iterator[dict], rows: int) -> Iterator[list[tuple[str | None, str | None, str | None]]]:
+    """The logs of a task in shards of ``rows``, the last one with less than twice as many, fewer if they are long."""
+    held: list[tuple[str | None, str | None, str | None]] = []
+    chars = 0
+    for b in batches:
+        for log in zip(b["question"], b["resolved_question"], b["answer"], strict=True):
+            held.append(log)
+            chars += sum(len(x or "") for x in log)
+            if chars >= SHARD_CHARS:
+                yield held
+                held, chars = [], 0
+            elif len(held) >= 2 * rows:
+                yield held[:rows]
+                held = held[rows:]
+                chars = sum(len(x or "") for log in held for x in log)
+    if held:
+        yield held
+
+
+def taught(logs: DataFrame, words: list[tuple[str, str]], rows: int = SAMPLE_ROWS) -> tuple[Featuriser, Field]:
+    """``teach`` with every log of a table: counts over all, the field in shards of about ``rows`` logs.
+
+    A weight is the mean of those of the shards that have its feature, by their number of cases.  Shards are made by a
+    hash of the row, so neither files nor cores change them.
+    """
+    make, closing, around = known(logs, words)
+    languages, ends = make.languages, make.ends
+    usable = logs.where("question != '' and answer is not null").select("id", "question", "resolved_question", "answer")
+    wanted = -(-usable.count() // rows)
+    if not wanted:
+        return make, fit(make, *examples([], make, closing, around, SEED))
+    # a task has one shard, in large tables several, whose weights it adds up
+    tasks = min(wanted, 256 + wanted // 16)
+    k = len(TAGS)
+
+    def kernel(batches: Iterator[dict]) -> Iterator[dict]:
+        own = Featuriser(languages, ends)
+        sums, cases_of = np.zeros((HASHED + k + 1, k), np.int64), np.zeros(HASHED + k + 1, np.int64)
+        for i, logs in enumerate(shards(batches, rows)):
+            cases, gold = examples(logs, own, closing, around, SEED + i)
+            data = list(zip(own.rows(cases).split(), gold, strict=True))
+            field = Field()
+            field.train(data)
+            met = np.zeros(HASHED + k + 1, bool)
+            met[HASHED:] = True
+            for features, _ in data:
+                met[np.concatenate(features)] = True
+            cases_of += met * len(cases)
+            sums += np.rint(np.concatenate([field.weights, field.steps]) * len(cases) * UNIT).astype(np.int64)
+        met = np.flatnonzero(cases_of)
+        yield {"place": met, "cases": cases_of[met]} | {f"w{j}": sums[met, j] for j in range(k)}
+
+    columns = ["cases", *[f"w{j}" for j in range(k)]]
+    placed = usable.withColumn("_h", F.xxhash64("id", "question", "resolved_question", "answer")).repartition(tasks, "_h").sortWithinPartitions("_h", "id", "question", "resolved_question", "answer")
+    got = arrow_map(placed, kernel, "place int, " + ", ".join(f"{c} long" for c in columns)).groupBy("place").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    mean = np.zeros((HASHED + k + 1, k))
+    mean[got.column("place").to_numpy()] = np.stack([got.column(f"w{j}").to_numpy() for j in range(k)], axis=1) / (UNIT * got.column("cases").to_numpy()[:, None])
+    field = Field()
+    field.weights, field.steps = mean[:HASHED], mean[HASHED:]
+    return make, field
+
+
 def defects(logs: DataFrame, words: list[tuple[str, str]], rows: int = SAMPLE_ROWS) -> DataFrame:
     """``log_id, defect, cover`` of every log; a sound pair has a null defect."""
-    make, field = teach(sample(logs, rows), words)
+    make, field = taught(logs, words, rows)
     languages, ends = make.languages, make.ends
     weights, steps = field.weights.astype(np.float32), field.steps
 

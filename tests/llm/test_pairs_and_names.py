@@ -180,3 +180,53 @@ def test_forms_that_are_common_in_answers_reveal_no_one(spark):
 def test_the_field_is_fitted_on_six_thousand_logs(spark):
     df = spark.range(7_000).select("id", *[F.lit("x").alias(c) for c in ("question", "resolved_question", "answer")])
     assert len(B.sample(df)) == 6_000 and B.EPOCHS == 6
+
+
+def many_logs():
+    """Logs with refusals, repeated closings without a full stop, and eight in words that nothing else holds."""
+    rare = [(f"Wann ist der Brumsel {i} mit der Knolfe nicht gut?", None, "Der Brumsel wird von der Knolfe und dem Trapis im Gelmund und dem Sorbat geschont.") for i in range(8)]
+    refused = [(f"Why {i}?", None, f"We cannot answer this, sorry. {a}") for i, a in enumerate(["Write to the desk."] * 9 + [EN[0]] * 5)]
+    closed = [(f"How is ear number {i} packed?", None, f"{EN[i % 6]} See page {i}") for i in range(7)]
+    return [(q, r, a) for q, r, a in logs() * 2 + rare + refused + closed + [(None, None, "x"), ("What?", None, None), ("What now?", "What?", "What now?")]]
+
+
+def frame_of(spark, rows):
+    return spark.createDataFrame([(i, *row) for i, row in enumerate(rows)], "id long, question string, resolved_question string, answer string")
+
+
+def test_what_is_counted_is_counted_over_all_logs(spark):
+    rows = many_logs()
+    make, closing, around = B.known(frame_of(spark, rows).repartition(5), WORDS)
+    listed, _ = B.teach(rows, WORDS)
+    texts = [x for q, _, a in rows for x in (q, a) if x]
+    words = sorted({w for t in texts for w in B._WORD.findall(t.lower())}) + ["unheard"]
+    assert [make.languages.word(w) for w in words] == [listed.languages.word(w) for w in words]
+    assert make.languages.word("knolfe") == {"de": 1.0}
+    assert [make.ends.known(w) for w in words if not w.isdigit()] == [listed.ends.known(w) for w in words if not w.isdigit()]
+    said = [" ".join(t.split()[:n]) for t in sorted(set(texts)) for n in range(1, 12)]
+
+    def side(p):
+        return [p < 0.05, p < 0.25, p > 0.3, p < 0.5]
+
+    assert [side(make.ends.likely(c)) for c in said] == [side(listed.ends.likely(c)) for c in said]
+    frames = {f for q, r, a in rows if q and a for f in B._framed(q, r, B.clauses(a))[0]}
+    assert {f for f in frames if f in around} >= {"write to the desk"} and "write to the desk" in B._surrounding(B._pairs(rows))
+    assert "see page #" in closing and "usually packing" not in closing
+
+
+def test_an_ending_of_few_logs_is_learnt_from_all(spark):
+    """Fourteen logs of two thousand end in the same words without a full stop; a part of the logs has too few of them."""
+    ending = [(f"How is ear number {i} packed?", None, f"{EN[i % 6]} Compare the lower plate") for i in range(14)]
+    rows = [*ending, *logs() * 8]
+    got = {r["log_id"]: r["defect"] for r in B.defects(frame_of(spark, rows), WORDS, 400).collect()}
+    assert [got[i] for i in range(14)] == [None] * 14
+
+
+def test_every_log_is_in_a_shard_however_the_table_lies(spark):
+    df = frame_of(spark, many_logs())
+    field = B.taught(df.repartition(1), WORDS, 60)[1]
+    assert B.taught(df.repartition(7), WORDS, 60)[1].weights.tolist() == field.weights.tolist()
+    held = list(B.shards(iter([{"question": [str(i) for i in range(n, n + 65)], "resolved_question": [None] * 65, "answer": ["a"] * 65} for n in (0, 65, 130)]), 60))
+    assert [len(x) for x in held] == [60, 60, 75] and [q for part in held for q, _, _ in part] == [str(i) for i in range(195)]
+    long = [{"question": ["q"] * 3, "resolved_question": [None] * 3, "answer": ["a" * B.SHARD_CHARS] * 3}]
+    assert [len(x) for x in B.shards(iter(long), 60)] == [1, 1, 1]
